@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,7 +53,47 @@ def rescore(readings: DataFrame, batch: DataFrame, *, frame_rows: int = FRAME_RO
         round_half_up(z, 4).alias("z_score"), "window_size", F.to_date("timestamp").alias("reading_date"))
 
 
-def score_writer(table: str, scores: str, *, frame_rows: int = FRAME_ROWS, split_rows: int | None = SPLIT_ROWS):
+def recent_history(readings: DataFrame, batch: DataFrame, lookback_days: int) -> DataFrame:
+    """The touched parameters' readings from ``lookback_days`` before the batch on, pruned by directory."""
+    bounds = batch.agg(F.min(F.to_date("timestamp")).alias("first"),
+                       F.collect_set("parameter").alias("parameters")).first()
+    since = bounds["first"] - timedelta(days=lookback_days)
+    return readings.where(F.col("parameter").isin(bounds["parameters"]) & (F.col("reading_date") >= F.lit(since)))
+
+
+def short_series(history: DataFrame, batch: DataFrame, frame_rows: int) -> DataFrame:
+    """Touched series with fewer than ``frame_rows`` valid readings before the batch in ``history``."""
+    spans = touched_spans(batch)
+    before = (
+        history.where(F.col("quality_flag") == VALID).select(*SERIES_KEY, "timestamp")
+        .join(spans, SERIES_KEY).where(F.col("timestamp") < F.col("first_touched"))
+        .groupBy(*SERIES_KEY).agg(F.count(F.lit(1)).alias("rows_before"))
+    )
+    return spans.join(before, SERIES_KEY, "left").where(
+        F.coalesce("rows_before", F.lit(0)) < frame_rows).select(*SERIES_KEY)
+
+
+def rescore_table(spark: SparkSession, table: str, batch: DataFrame, *, lookback_days: int = 30,
+                  frame_rows: int = FRAME_ROWS, split_rows: int | None = SPLIT_ROWS) -> DataFrame:
+    """:func:`rescore` against the readings table without reading all of it for every batch.
+
+    Most series find their whole frame in the days before the batch. Those that do not, because they are
+    young or sparse, are scored against their full history.
+    """
+    readings = read_readings(spark, table)
+    history = recent_history(readings, batch, lookback_days)
+    short = short_series(history, batch, frame_rows)
+    settled = rescore(history, batch.join(short, SERIES_KEY, "left_anti"), frame_rows=frame_rows,
+                      split_rows=split_rows)
+    if short.isEmpty():
+        return settled
+    young = rescore(readings, batch.join(short, SERIES_KEY, "left_semi"), frame_rows=frame_rows,
+                    split_rows=split_rows)
+    return settled.unionByName(young)
+
+
+def score_writer(table: str, scores: str, *, lookback_days: int = 30, frame_rows: int = FRAME_ROWS,
+                 split_rows: int | None = SPLIT_ROWS):
     """An ``after`` step for the ingest stream that keeps a table of scores next to the readings.
 
     Scores of readings that a correction turned suspect or missing are left behind by the upsert; readers
@@ -59,7 +101,8 @@ def score_writer(table: str, scores: str, *, frame_rows: int = FRAME_ROWS, split
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = rescore(read_readings(spark, table), batch, frame_rows=frame_rows, split_rows=split_rows)
+        fresh = rescore_table(spark, table, batch, lookback_days=lookback_days, frame_rows=frame_rows,
+                              split_rows=split_rows)
         upsert_rows(spark, fresh.withColumn("version", F.lit(batch_id)), scores,
                     keys=[*SERIES_KEY, "timestamp"], partitions=SCORE_PARTITIONS,
                     sort=["city_id", "timestamp"], order="version")
