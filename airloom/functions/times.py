@@ -54,9 +54,10 @@ def period_start(interval: str, moment: Column) -> Column:
 def parse_iso(text: Column) -> Column:
     """ISO text to an instant: with Z, with an offset, naive (UTC), or without seconds; else NULL."""
     trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    timed = F.regexp_replace(trimmed, r"^(.{16})($|Z|[+-])", "$1:00$2")
     zoned = (
-        F.when(trimmed.rlike(_ZONED), trimmed)
-        .when(F.length(trimmed) > 10, F.concat(trimmed, F.lit("Z")))
+        F.when(timed.rlike(_ZONED), timed)
+        .when(F.length(timed) > 10, F.concat(timed, F.lit("Z")))
         .otherwise(F.concat(trimmed, F.lit("T00:00:00Z")))
     )
     return F.when(trimmed.rlike(_ISO), zoned.try_cast("timestamp"))

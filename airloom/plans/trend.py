@@ -40,7 +40,7 @@ def trend(readings: DataFrame, cities: DataFrame, *, as_of: datetime | str | Non
 
     ``total_readings`` adds up the bucket counts of a series; its window runs over buckets, of which a
     series has at most 365 x 24. With ``keep_empty``, which needs ``parameters``, a series without readings
-    yields one row with a NULL period and a total of 0.
+    yields one row with a NULL period and counts of 0.
     """
     check_days(days)
     now = to_utc(as_of)
@@ -55,8 +55,9 @@ def trend(readings: DataFrame, cities: DataFrame, *, as_of: datetime | str | Non
         if city_ids is not None:
             names = names.where(F.col("city_id").isin(list(city_ids)))
         wanted = names.withColumn("parameter", F.explode(F.array(*[F.lit(p) for p in parameters])))
-        joined = wanted.join(buckets, SERIES_KEY, "left").withColumn(
-            "total_readings", F.coalesce("total_readings", F.lit(0).cast("long")))
+        zero = F.lit(0).cast("long")
+        joined = wanted.join(buckets, SERIES_KEY, "left").withColumns({
+            name: F.coalesce(name, zero) for name in ("reading_count", "total_readings")})
     else:
         joined = buckets.join(names, "city_id")
     result = joined.select(

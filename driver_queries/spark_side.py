@@ -607,7 +607,7 @@ def extended_insights(spark, d):
 
 @registered
 def token_audit(spark, d):
-    return insights.token_audit(given.insight_cache(spark, d))
+    return insights.token_audit(given.insight_cache(spark, d)).withColumn("day", F.col("day").cast("string"))
 
 
 # Streaming
