@@ -26,7 +26,9 @@ def quality_flag(parameter: Column, value: Column) -> Column:
 
     Unknown parameters have no range and count as valid. NaN compares above every number and is suspect.
     """
-    outside = F.lit(False)
-    for name, (low, high) in PLAUSIBLE_BOUNDS.items():
-        outside = outside | ((parameter == name) & ((value < low) | (value > high)))
+    def bound(side: int) -> Column:
+        table = F.create_map(*[F.lit(item) for name, pair in PLAUSIBLE_BOUNDS.items() for item in (name, pair[side])])
+        return F.try_element_at(table, parameter)
+
+    outside = (value < bound(0)) | (value > bound(1))
     return F.when(value.isNull(), MISSING).when(outside, SUSPECT).otherwise(VALID)

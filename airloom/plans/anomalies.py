@@ -58,12 +58,12 @@ def _parts(readings: DataFrame, now: datetime, days: int, city_ids, parameters,
 def anomalies(readings: DataFrame, cities: DataFrame, *, as_of: datetime | str | None = None, days: int = 30,
               sensitivity: float = 2.0, city_ids: Sequence[str] | None = None,
               parameters: Sequence[str] | None = None, include_suspect: bool = False,
-              until: datetime | None = None, split_rows: int | None = SPLIT_ROWS, sort: bool = True) -> DataFrame:
+              until: datetime | None = None, split_rows: int | None = SPLIT_ROWS, sort: bool = False) -> DataFrame:
     """Readings of active cities that lie ``sensitivity`` deviations or more off their rolling baseline.
 
     The baseline reaches seven days further back than the reported range. That bound is stated here
     because a filter on the order column of a window is not pushed below it. ``sort`` puts the most extreme
-    first within each series; it costs a second evaluation for sampling, so large jobs switch it off.
+    first within each series, at the price of a second evaluation from which the sort takes its samples.
     """
     check_days(days, lowest=7)
     if not 1.0 <= sensitivity <= 5.0:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,22 +17,27 @@ from airloom.plans.trend import check_days
 from airloom.schemas import SERIES_KEY
 
 
-def two_period_statistics(base: DataFrame, split: datetime, places: int) -> DataFrame:
+def two_period_statistics(base: DataFrame, split: datetime, places: int, *, usable: Column | None = None,
+                          extra: Sequence[Column] = ()) -> DataFrame:
     """Current statistics and the previous average per series, from one scan of both periods.
 
-    Rows at or after ``split`` are current. Series without current rows are left out; a series without
-    previous rows has a NULL ``prev_avg``.
+    Rows at or after ``split`` are current. A series without previous rows has a NULL ``prev_avg``; one
+    without current rows has a ``reading_count`` of 0, and callers leave it out. ``usable`` narrows what is
+    measured without narrowing what the ``extra`` aggregates see.
     """
     is_current = F.col("timestamp") >= instant(split)
+    is_previous = ~is_current
+    if usable is not None:
+        is_current, is_previous = is_current & usable, is_previous & usable
     current = F.when(is_current, F.col("value"))
-    previous = F.when(~is_current, F.col("value"))
     return base.groupBy(*SERIES_KEY).agg(
         round_half_up(F.avg(current), places).alias("avg"),
         round_half_up(F.min(current), places).alias("min"),
         round_half_up(F.max(current), places).alias("max"),
         F.count_if(is_current).alias("reading_count"),
-        round_half_up(F.avg(previous), places).alias("prev_avg"),
-    ).where(F.col("reading_count") > 0)
+        round_half_up(F.avg(F.when(is_previous, F.col("value"))), places).alias("prev_avg"),
+        *extra,
+    )
 
 
 def compare(readings: DataFrame, cities: DataFrame, *, as_of: datetime | str | None = None, days: int = 7,
@@ -52,7 +57,7 @@ def compare(readings: DataFrame, cities: DataFrame, *, as_of: datetime | str | N
                            parameters=parameters, include_suspect=include_suspect)
     if city_set is not None:
         base = base.join(city_set.select("city_id"), "city_id", "left_semi")
-    statistics = two_period_statistics(base, days_before(now, days), 4)
+    statistics = two_period_statistics(base, days_before(now, days), 4).where(F.col("reading_count") > 0)
     by_average = W.partitionBy("parameter").orderBy(F.col("avg").asc_nulls_last())
     result = statistics.join(city_names(cities, active_only=False), "city_id").select(
         "parameter", canonical_unit(F.col("parameter")).alias("unit"), F.lit(days).alias("days"), "city_id",

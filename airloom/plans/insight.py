@@ -28,17 +28,21 @@ WINDOW_HOURS = 3
 CONTEXT_FIELDS = ["city", "country", "period", "statistics", "anomalies", "correlations", "data_quality"]
 
 
+def _statistics(rows: DataFrame) -> DataFrame:
+    change = round_exact(percent_change(F.col("avg"), F.col("prev_avg"), places=None), 1)
+    return rows.withColumn("trend_pct_change", change).withColumn(
+        "trend_direction", movement(F.col("trend_pct_change"), absent="insufficient_data"))
+
+
+_STATISTICS = ["avg", "min", "max", "reading_count", "trend_direction", "trend_pct_change"]
+
+
 def context_statistics(readings: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
     """Seven-day statistics per city and parameter, with the trend against the seven days before."""
     now = to_utc(as_of)
     base = usable_readings(readings, since=days_before(now, 2 * PERIOD_DAYS))
-    rows = two_period_statistics(base, days_before(now, PERIOD_DAYS), 2)
-    change = round_exact(percent_change(F.col("avg"), F.col("prev_avg"), places=None), 1)
-    return rows.withColumn("trend_pct_change", change).select(
-        *SERIES_KEY, "avg", "min", "max", "reading_count",
-        movement(F.col("trend_pct_change"), absent="insufficient_data").alias("trend_direction"),
-        "trend_pct_change",
-    )
+    rows = two_period_statistics(base, days_before(now, PERIOD_DAYS), 2).where(F.col("reading_count") > 0)
+    return _statistics(rows).select(*SERIES_KEY, *_STATISTICS)
 
 
 def context_anomalies(readings: DataFrame, as_of: datetime | str | None = None, *,
@@ -56,14 +60,32 @@ def context_anomalies(readings: DataFrame, as_of: datetime | str | None = None,
     )
 
 
+def _near(readings: DataFrame, moments: DataFrame, moment_key: list[str], now: datetime) -> DataFrame:
+    since = days_before(now, PERIOD_DAYS) - timedelta(hours=WINDOW_HOURS)
+    return surroundings(moments, usable_readings(readings, since=since), moment_key=moment_key, hours=WINDOW_HOURS)
+
+
 def context_windows(readings: DataFrame, top: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
     """All parameters of the city around each of its top anomalies: the last seven timestamps of +-3 hours."""
-    since = days_before(to_utc(as_of), PERIOD_DAYS) - timedelta(hours=WINDOW_HOURS)
-    near = surroundings(top.select("city_id", "position", "timestamp"), usable_readings(readings, since=since),
-                        moment_key=["position"], hours=WINDOW_HOURS)
+    near = _near(readings, top.select("city_id", "position", "timestamp"), ["position"], to_utc(as_of))
     return wide_entries(near, ["city_id", "position"])
 
 
+def anomalies_with_windows(readings: DataFrame, top: DataFrame, now: datetime) -> DataFrame:
+    """One list of anomalies per city, each with its window.
+
+    The anomaly travels through the interval join as part of the key, so the rolling baseline behind ``top``
+    is evaluated once. None is lost on the way: every anomaly lies within its own window.
+    """
+    details = F.struct("parameter", "value", "rolling_avg", "z_score").alias("anomaly")
+    near = _near(readings, top.select("city_id", "position", "timestamp", details), ["position", "anomaly"], now)
+    key = ["city_id", "position", "moment", "anomaly"]
+    entry = F.struct("timestamp", F.map_entries("values").alias("values"))
+    windows = wide_entries(near, key).groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("context_window"))
+    listed = F.struct("position", F.col("moment").alias("timestamp"), "anomaly.*", "context_window")
+    return windows.groupBy("city_id").agg(F.sort_array(F.collect_list(listed)).alias("anomalies"))
+
+
 def context_correlations(readings: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
     """The two fixed pairs; a pair without a coefficient is left out."""
     base = usable_readings(readings, since=days_before(to_utc(as_of), PERIOD_DAYS))
@@ -90,33 +112,36 @@ def insight_context(readings: DataFrame, cities: DataFrame, as_of: datetime | st
     each, two correlations.
     """
     now = to_utc(as_of)
-    statistics = context_statistics(readings, now).groupBy("city_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("parameter", F.struct(
-            "avg", "min", "max", "reading_count", "trend_direction", "trend_pct_change"))))).alias("statistics"))
-    top = context_anomalies(readings, now, split_rows=split_rows)
-    windows = context_windows(readings, top, now).groupBy("city_id", "position").agg(
-        F.sort_array(F.collect_list(F.struct("timestamp", F.map_entries("values").alias("values")))
-                     ).alias("context_window"))
-    anomalies = top.join(windows, ["city_id", "position"], "left").groupBy("city_id").agg(
-        F.sort_array(F.collect_list(F.struct(
-            "position", "timestamp", "parameter", "value", "rolling_avg", "z_score", "context_window"
-        ))).alias("anomalies"))
+    recent = F.col("timestamp") >= instant(days_before(now, PERIOD_DAYS))
+    flag = F.col("quality_flag")
+    measured = two_period_statistics(
+        between_instants(readings, days_before(now, 2 * PERIOD_DAYS)), days_before(now, PERIOD_DAYS), 2,
+        usable=flag == VALID,
+        extra=[F.count_if(recent).alias("total"), F.count_if(recent & (flag == SUSPECT)).alias("suspect"),
+               F.count_if(recent & (flag == MISSING)).alias("missing")])
+    # collect_list passes over the NULLs of parameters without a current reading.
+    entry = F.when(F.col("reading_count") > 0, F.struct("parameter", F.struct(*_STATISTICS)))
+    overview = _statistics(measured).groupBy("city_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("statistics"),
+        F.sum("total").alias("total_readings"), F.sum("reading_count").alias("valid"),
+        F.sum("suspect").alias("suspect"), F.sum("missing").alias("missing"))
+    valid_pct = share_percent(F.col("valid"), F.col("total_readings")).alias("valid_pct")
+    overview = overview.select("city_id", "statistics",
+                               F.struct("total_readings", valid_pct, "suspect", "missing").alias("data_quality"))
+    anomalies = anomalies_with_windows(readings, context_anomalies(readings, now, split_rows=split_rows), now)
     correlations = context_correlations(readings, now).groupBy("city_id").agg(
         F.sort_array(F.collect_list(F.struct("param1", "param2", "pearson_r", "sample_size"))).alias("correlations"))
-    quality = data_quality(readings, now).select(
-        "city_id", F.struct("total_readings", "valid_pct", "suspect", "missing").alias("data_quality"))
     zero = F.lit(0).cast("long")
     no_data = F.struct(zero.alias("total_readings"), F.lit(0.0).alias("valid_pct"), zero.alias("suspect"),
                        zero.alias("missing"))
     joined = (
         city_names(cities, "country")
-        .join(statistics, "city_id", "left").join(anomalies, "city_id", "left")
-        .join(correlations, "city_id", "left").join(quality, "city_id", "left")
+        .join(overview, "city_id", "left").join(anomalies, "city_id", "left").join(correlations, "city_id", "left")
     )
     label = period_label(days_before(now, PERIOD_DAYS), now)
     context = joined.select(
         "city_id", F.col("city_name").alias("city"), "country", F.lit(label).alias("period"),
-        F.coalesce("statistics", F.create_map().cast(statistics.schema["statistics"].dataType)).alias("statistics"),
+        F.coalesce("statistics", F.create_map().cast(overview.schema["statistics"].dataType)).alias("statistics"),
         F.coalesce("anomalies", F.array().cast(anomalies.schema["anomalies"].dataType)).alias("anomalies"),
         F.coalesce("correlations", F.array().cast(correlations.schema["correlations"].dataType)
                    ).alias("correlations"),

@@ -11,11 +11,16 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Small shuffles stay spread over the cores; large ones are still bounded by the advisory size.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
 }
+# Settings that only a new session can take. Recording the call site of every column expression costs more
+# than planning the queries does.
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def build_session(app_name: str = "airloom", master: str | None = None,
@@ -26,7 +31,7 @@ def build_session(app_name: str = "airloom", master: str | None = None,
     so that one partition of the largest shuffle stays near 200 MB.
     """
     builder = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **START_SETTINGS}.items():
         builder = builder.config(key, value)
     if master:
         builder = builder.master(master)

@@ -102,12 +102,15 @@ def upsert_readings(spark: SparkSession, batch: DataFrame, path: str, as_of: dat
 
 def upsert_rows(spark: SparkSession, batch: DataFrame, path: str, *, keys: list[str], partitions: list[str],
                 sort: list[str], order: str) -> None:
-    """Last-write-wins upsert of whole rows into a derived table."""
+    """Last-write-wins upsert of whole rows into a derived table.
+
+    ``order`` numbers the arrivals from 0 up and is not stored. Like :func:`upsert_readings`, this evaluates
+    ``batch`` twice.
+    """
     table = read_table(spark, path, batch.drop(order).schema)
-    stored = touched_partitions(table, batch, partitions)
-    incoming = latest_per_key(batch, keys, order).drop(order)
-    kept = stored.join(incoming.select(*keys), keys, "left_anti")
-    replace_partitions(kept.unionByName(incoming), path, partitions, sort)
+    stored = touched_partitions(table, batch, partitions).withColumn(order, F.lit(-1).cast(batch.schema[order].dataType))
+    newest = latest_per_key(stored.unionByName(batch), keys, order).drop(order)
+    replace_partitions(newest, path, partitions, sort)
 
 
 def write_cities(cities: DataFrame, path: str) -> None:

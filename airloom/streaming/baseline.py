@@ -102,10 +102,12 @@ def score_writer(table: str, scores: str, *, lookback_days: int = 30, frame_rows
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = rescore_table(spark, table, batch, lookback_days=lookback_days, frame_rows=frame_rows,
-                              split_rows=split_rows)
-        upsert_rows(spark, fresh.withColumn("version", F.lit(batch_id)), scores,
-                    keys=[*SERIES_KEY, "timestamp"], partitions=SCORE_PARTITIONS,
-                    sort=["city_id", "timestamp"], order="version")
+                              split_rows=split_rows).withColumn("version", F.lit(batch_id)).persist()
+        try:
+            upsert_rows(spark, fresh, scores, keys=[*SERIES_KEY, "timestamp"], partitions=SCORE_PARTITIONS,
+                        sort=["city_id", "timestamp"], order="version")
+        finally:
+            fresh.unpersist()
 
     return write
 

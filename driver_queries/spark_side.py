@@ -141,7 +141,7 @@ def anomalies(spark, d):
 def anomalies_sliced(spark, d):
     """The same with a threshold so low that every series takes the path of the very large ones."""
     return anomaly_plan.anomalies(given.readings(spark, d), given.cities(spark, d), as_of=AS_OF,
-                                  split_rows=SPLIT_FOR_TESTS)
+                                  split_rows=SPLIT_FOR_TESTS, sort=True)
 
 
 @registered

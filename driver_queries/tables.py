@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from airloom.functions.quality import canonical_unit, quality_flag
 from airloom.functions.text import slug
@@ -19,13 +20,22 @@ PARAMETERS = {"view": "pm25", "click": "pm10", "purchase": "no2", "error": "temp
 DETECTION_LIMIT = 0.5
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """A test table; its schema is taken from the file once and declared from then on."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def parameter_of(event_type: Column) -> Column:
-    names = F.create_map(*[F.lit(item) for pair in PARAMETERS.items() for item in pair])
-    return F.coalesce(F.try_element_at(names, event_type), event_type)
+    chosen = event_type
+    for kind, parameter in PARAMETERS.items():
+        chosen = F.when(event_type == kind, parameter).otherwise(chosen)
+    return chosen
 
 
 def as_staged(events: DataFrame) -> DataFrame:
