@@ -9,17 +9,19 @@ from airloom.schemas import MISSING, QUALITY_FLAGS, READING_KEY
 
 
 def constraint_violations(readings: DataFrame, cities: DataFrame) -> DataFrame:
-    """One row per broken rule and key: duplicates, unknown flags, orphans, values that contradict the flag."""
-    def named(rows: DataFrame, rule: str, count=F.lit(1).cast("long")) -> DataFrame:
-        return rows.select(F.lit(rule).alias("rule"), *READING_KEY, count.alias("violating_rows"))
+    """One row per broken rule and key: duplicates, unknown flags, orphans, values that contradict the flag.
 
-    duplicates = readings.groupBy(*READING_KEY).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    bad_flag = readings.where(~F.col("quality_flag").isin(*QUALITY_FLAGS) | F.col("quality_flag").isNull())
-    orphans = readings.join(cities.select(F.col("id").alias("city_id")), "city_id", "left_anti")
-    contradicting = readings.where(F.col("value").isNull() != (F.col("quality_flag") == MISSING))
-    return (
-        named(duplicates, "unique_key", F.col("copies"))
-        .unionByName(named(bad_flag, "quality_flag_domain"))
-        .unionByName(named(orphans, "city_reference"))
-        .unionByName(named(contradicting, "missing_means_null"))
-    )
+    The three rules about single rows share one scan; the duplicate check reads only the key columns.
+    """
+    known = cities.select(F.col("id").alias("city_id"), F.lit(True).alias("known"))
+    flag = F.col("quality_flag")
+    broken = F.array_compact(F.array(
+        F.when(flag.isNull() | ~flag.isin(*QUALITY_FLAGS), "quality_flag_domain"),
+        F.when(F.col("known").isNull(), "city_reference"),
+        F.when(F.col("value").isNull() != (flag == MISSING), "missing_means_null"),
+    ))
+    single = readings.join(known, "city_id", "left").select(
+        F.explode(broken).alias("rule"), *READING_KEY, F.lit(1).cast("long").alias("violating_rows"))
+    duplicates = readings.groupBy(*READING_KEY).agg(F.count(F.lit(1)).alias("violating_rows")).where(
+        "violating_rows > 1")
+    return single.unionByName(duplicates.withColumn("rule", F.lit("unique_key")))

@@ -71,23 +71,27 @@ def anomaly_summary(readings: DataFrame, cities: DataFrame, *, as_of: datetime |
     """
     _, scored = _parts(readings, to_utc(as_of), 30, None, list(parameters), False, None, split_rows)
     found = with_scores(scored.where(deviates(sensitivity)))
-    counts = found.groupBy("city_id").agg(
-        F.count(F.lit(1)).alias("total"),
-        *[F.count_if(F.col("severity") == level).alias(level) for level in ("high", "medium", "low")],
-    )
     listed = F.array_position(F.array(*[F.lit(p) for p in parameters]), F.col("parameter"))
-    most_extreme = W.partitionBy("city_id").orderBy(
-        F.abs("z_score").desc(), listed, F.col("size").desc(), "timestamp")
+    extreme_first = [F.abs("z_score").desc(), listed, F.col("size").desc(), "timestamp"]
+    # Two levels, so that neither counting nor ranking puts all anomalies of a city in one place and the
+    # baselines are evaluated once: every hour of a series keeps its ten most extreme readings, the first
+    # of them also the hour's counts, and a city then has at most ten rows per series and hour.
+    hour = W.partitionBy(*SERIES_KEY, F.date_trunc("hour", "timestamp"))
+    levels = ("high", "medium", "low")
+    by_hour = (
+        found.withColumn("in_hour", F.row_number().over(hour.orderBy(*extreme_first)))
+        .withColumns({level: F.count_if(F.col("severity") == level).over(hour) for level in levels})
+        .where(F.col("in_hour") <= SHOWN_ANOMALIES)
+    )
     entry = F.struct("position", "parameter", canonical_unit(F.col("parameter")).alias("unit"), "timestamp",
                      "value", "rolling_avg", "z_score", "severity")
-    top = (
-        found.withColumn("position", F.row_number().over(most_extreme))
-        .where(F.col("position") <= SHOWN_ANOMALIES)
-        .groupBy("city_id").agg(F.array_sort(F.collect_list(entry)).alias("top_anomalies"))
-    )
+    city = by_hour.withColumn("position", F.row_number().over(W.partitionBy("city_id").orderBy(*extreme_first)))
+    reported = city.groupBy("city_id").agg(
+        *[F.sum(F.when(F.col("in_hour") == 1, F.col(level))).alias(level) for level in levels],
+        F.array_sort(F.collect_list(F.when(F.col("position") <= SHOWN_ANOMALIES, entry))).alias("top_anomalies"),
+    ).withColumn("total", F.col("high") + F.col("medium") + F.col("low"))
     zero = F.lit(0).cast("long")
-    joined = city_names(cities).join(counts, "city_id", "left").join(top, "city_id", "left")
-    return joined.select(
-        "city_id", "city_name", *[F.coalesce(name, zero).alias(name) for name in ("total", "high", "medium", "low")],
-        F.coalesce("top_anomalies", F.array().cast(top.schema["top_anomalies"].dataType)).alias("top_anomalies"),
+    return city_names(cities).join(reported, "city_id", "left").select(
+        "city_id", "city_name", *[F.coalesce(name, zero).alias(name) for name in ("total", *levels)],
+        F.coalesce("top_anomalies", F.array().cast(reported.schema["top_anomalies"].dataType)).alias("top_anomalies"),
     )
