@@ -9,10 +9,19 @@ from airloom.functions.numeric import round_exact
 from airloom.schemas import CANONICAL_UNITS, MISSING, PLAUSIBLE_BOUNDS, SUSPECT, VALID
 
 
+def _map_text(pairs: dict) -> str:
+    """A constant map as one SQL expression; built from columns it would take a call per entry."""
+    return "map(" + ", ".join(f"'{key}', {value}" for key, value in pairs.items()) + ")"
+
+
+_UNITS = _map_text({name: f"'{unit}'" for name, unit in CANONICAL_UNITS.items()})
+_LOW, _HIGH = (_map_text({name: f"{pair[side]}D" for name, pair in PLAUSIBLE_BOUNDS.items()}) for side in (0, 1))
+
+
 def canonical_unit(parameter: Column, otherwise: Column | None = None) -> Column:
     """Storage unit of a parameter; an unknown one keeps ``otherwise`` (default ``unknown``)."""
-    table = F.create_map(*[F.lit(item) for pair in CANONICAL_UNITS.items() for item in pair])
-    return F.coalesce(F.try_element_at(table, parameter), F.lit("unknown") if otherwise is None else otherwise)
+    known = F.try_element_at(F.expr(_UNITS), parameter)
+    return F.coalesce(known, F.lit("unknown") if otherwise is None else otherwise)
 
 
 def normalise_weather(parameter: Column, value: Column, unit: Column) -> Column:
@@ -26,9 +35,6 @@ def quality_flag(parameter: Column, value: Column) -> Column:
 
     Unknown parameters have no range and count as valid. NaN compares above every number and is suspect.
     """
-    def bound(side: int) -> Column:
-        table = F.create_map(*[F.lit(item) for name, pair in PLAUSIBLE_BOUNDS.items() for item in (name, pair[side])])
-        return F.try_element_at(table, parameter)
-
-    outside = (value < bound(0)) | (value > bound(1))
+    low, high = (F.try_element_at(F.expr(table), parameter) for table in (_LOW, _HIGH))
+    outside = (value < low) | (value > high)
     return F.when(value.isNull(), MISSING).when(outside, SUSPECT).otherwise(VALID)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,17 +25,18 @@ def between_instants(df: DataFrame, since: datetime | None = None, until: dateti
     Where the table carries its ``reading_date`` partition column the same bounds are put on it, so whole
     directories are skipped.
     """
+    moment, day = F.col("timestamp"), F.col("reading_date")
     dated = "reading_date" in df.columns
-    moment = F.col("timestamp")
+    bounds = []
     if since is not None:
-        df = df.where(moment >= instant(since))
+        bounds.append(moment >= instant(since))
         if dated:
-            df = df.where(F.col("reading_date") >= day_literal(since))
+            bounds.append(day >= day_literal(since))
     if until is not None:
-        df = df.where(moment <= instant(until) if closed else moment < instant(until))
+        bounds.append(moment <= instant(until) if closed else moment < instant(until))
         if dated:
-            df = df.where(F.col("reading_date") <= day_literal(until))
-    return df
+            bounds.append(day <= day_literal(until))
+    return df.where(reduce(and_, bounds)) if bounds else df
 
 
 def select_series(df: DataFrame, city_ids: Sequence[str] | None = None,

@@ -47,10 +47,14 @@ def _parts(readings: DataFrame, now: datetime, days: int, city_ids, parameters,
     analysis = days_before(now, days)
     base = usable_readings(readings, since=days_before(analysis, WARM_UP_DAYS), until=until, city_ids=city_ids,
                            parameters=parameters, include_suspect=include_suspect)
-    base = base.select(*SERIES_KEY, "timestamp", "value")
+    base = base.select(*SERIES_KEY, "timestamp", "value").where(
+        F.col("city_id").isNotNull() & F.col("parameter").isNotNull())
     in_range = F.col("timestamp") >= instant(analysis)
-    # The sizes serve the skew check and the totals; both uses share one exchange.
-    sizes = series_sizes(base, F.count_if(in_range).alias("total_readings_analysed"))
+    # The sizes serve the skew check and the totals. The condition holds for every series; it keeps all four
+    # aggregates alive in both uses, so that column pruning leaves them equal and one exchange serves both.
+    # Refusing absent keys up front does the same for the filter a join would add to one of them.
+    sizes = series_sizes(base, F.count(F.when(in_range, 1)).alias("total_readings_analysed")).where(
+        (F.col("series_rows") > 0) & (F.col("first_at") <= F.col("last_at")) & (F.col("total_readings_analysed") >= 0))
     scored = rolling_baseline(base, sizes=sizes, split_rows=split_rows).where(in_range)
     return sizes.select(*SERIES_KEY, "total_readings_analysed"), scored
 

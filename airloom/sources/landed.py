@@ -19,6 +19,7 @@ from airloom.schemas import (
     CORRUPT_COLUMN, LOCATIONS_DOC, MEASUREMENTS_DOC, POLLUTANTS, STAGED_READINGS, WEATHER_DOC, WEATHER_FIELDS,
 )
 
+# How the two providers are named in the source column.
 AIR_SOURCE, WEATHER_SOURCE = "openaq", "open-meteo"
 
 
