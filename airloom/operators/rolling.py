@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from airloom.schemas import SERIES_KEY
 
 FRAME_ROWS = 168
-SPLIT_ROWS = 2_000_000
+SPLIT_ROWS = 500_000
 HOT_LIMIT = 10_000
 
 
