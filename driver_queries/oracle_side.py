@@ -386,6 +386,7 @@ ORACLE: dict[str, str] = {
                max, reading_count,
                CAST(sum(reading_count) OVER (PARTITION BY b.city_id, parameter) AS BIGINT) AS total_readings
         FROM b JOIN cities c ON c.id = b.city_id WHERE c.is_active"""),
+    "trend_documents": f"SELECT * EXCLUDE (city_name) FROM ({trend('day')})",
     "compare": q(comparison(7, "TRUE") + " SELECT * FROM compared"),
     "compare_selected": q(comparison(3, "v.city_id IN ('1', '2', '3', '4')") + " SELECT * FROM compared"),
     "compare_summary": q(comparison(7, "c.is_active AND v.parameter = 'pm25'") + """

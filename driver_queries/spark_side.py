@@ -88,9 +88,14 @@ def trend_with_suspect(spark, d):
 
 @registered
 def trend_documents(spark, d):
+    """Trend responses as JSON documents, read back into rows."""
     rows = trend(given.readings(spark, d), given.cities(spark, d), as_of=AS_OF, sort=False)
-    return to_documents(rows, ["city_id", "parameter", "unit", "interval", "days", "total_readings"],
-                        ["period", "avg", "min", "max", "reading_count"], "data")
+    documents = to_documents(rows, ["city_id", "parameter", "unit", "interval", "days", "total_readings"],
+                             ["period", "avg", "min", "max", "reading_count"], "data")
+    schema = ("city_id string, parameter string, unit string, interval string, days int, total_readings long, "
+              "data array<struct<period: timestamp, avg: double, min: double, max: double, reading_count: long>>")
+    read = documents.select(F.from_json("document", schema).alias("d")).select("d.*")
+    return read.select("city_id", "parameter", "unit", "interval", "days", "total_readings", F.inline("data"))
 
 
 # Comparison and ranking
