@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from airloom.operators import sites
 from helpers import at, city_frame
