@@ -50,11 +50,14 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Only where the cluster names none (local tests) does this fall back to a temporary folder, which
-    then also becomes the session's checkpoint folder.
+    Where none is named, a local session (tests) gets a temporary one, which is then its checkpoint folder
+    too. On a cluster that would be some machine's own disk, so there it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="airloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="airloom-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/airloom/{purpose}-{uuid.uuid4().hex}"
