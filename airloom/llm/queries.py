@@ -11,12 +11,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airloom.llm import bpe, exact_dedup, mixing, quality, simhash
+from airloom.llm import bpe, embedding, exact_dedup, license_scan, lm_score, mixing, quality, secrets, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 RANKS = "byte_bpe_multi_50k.tiktoken"
 TARGETS = {"en": 0.5, "fr": 0.2, "de": 0.18, "es": 0.12}
 
+# The rules that urls are judged by.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
+             ("block", "com/de/")]
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -32,10 +36,40 @@ def id_digest(ids: Column) -> Column:
     return F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256)
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, folder, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"))
 
 
+def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex",
+                        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "layers", "oversize")
+
+
+def op4_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, folder, "documents"), license_scan.notices(spark))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding.near_vectors(table(spark, folder, "embeddings"))
+
+
+def listed_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Urls to refuse: pages whose path ends in the number of a document labelled toxic."""
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.html)?/?\z", 1).try_cast("long")
+    toxic = table(spark, folder, "labels").where("toxic = 1").select("doc_id").distinct()
+    return table(spark, folder, "pages").select("url", number.alias("doc_id")).join(toxic, "doc_id", "left_semi").select("url")
+
+
+def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    judged = url_filter.filter_urls(table(spark, folder, "pages"), listed_urls(spark, folder), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -72,9 +106,32 @@ def reachable(query: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {q.__name__: reachable(q) for q in (
-    op2_simhash_near_dedup, op7_quality_classifier, op8_mixing_to_targets, op9_byte_bpe, op10_exact_dedup)}
+    op1_lm_scoring, op2_simhash_near_dedup, op3_secret_scans, op4_license_scans, op5_embedding_near_dedup, op6_url_filters,
+    op7_quality_classifier, op8_mixing_to_targets, op9_byte_bpe, op10_exact_dedup)}
 
 ORACLE: dict[str, str] = {
+    "op6_url_filters": """
+        WITH p AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+                   FROM pages),
+        h AS (SELECT page_id, rest, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path,
+                     regexp_extract(coalesce(rest, ''), '^[^?#]*\\?([^#]*)', 1) AS query FROM p),
+        c AS (SELECT *, list_filter(string_split(query, '&'), x -> x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref)(=|\\z)')) AS q
+              FROM h),
+        k AS (SELECT *, CASE WHEN regexp_replace(host, '^www\\.', '') <> '' THEN regexp_replace(host, '^www\\.', '') || rtrim(path, '/') ||
+                     CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canon,
+                     try_cast(regexp_extract(path, '/([0-9]{1,18})(?:\\.html)?/?\\z', 1) AS BIGINT) AS doc_id FROM c),
+        listed AS (SELECT DISTINCT canon FROM k WHERE canon IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+        r AS (SELECT * FROM (VALUES ('allow', 'org', '/', 'org/'), ('block', 'example.org', '/es/', 'example.org/es/'),
+                     ('block', 'example.org', '/en/1', 'example.org/en/1'), ('allow', 'com', '/fr/', 'com/fr/'),
+                     ('block', 'com', '/de/', 'com/de/')) AS t(verdict, rule_host, rule_path, rule)),
+        f AS (SELECT k.*, (SELECT arg_max({'rule': r.rule, 'verdict': r.verdict}, length(r.rule)) FROM r
+                           WHERE (k.host = r.rule_host OR ends_with(k.host, '.' || r.rule_host))
+                           AND starts_with(k.path, r.rule_path)) AS best FROM k)
+        SELECT page_id, host, path, best.rule AS rule,
+               coalesce(best.verdict, CASE WHEN canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM f""",
     "op10_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
