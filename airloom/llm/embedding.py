@@ -56,7 +56,7 @@ def tile_links(batches: Iterator[pd.DataFrame], limit: float) -> Iterator[pd.Dat
         units, second = _units(pd.Series(group["vector"])), group["second"].astype(bool)
         keys = np.array(group["keys"].tolist(), np.int64)
         table, times, ids = int(group["table"][0]), group["times"], group["node"]
-        if second.any():
+        if group["across"][0]:
             left, right = np.flatnonzero(~second), np.flatnonzero(second)
             i, j = np.nonzero(units[left] @ units[right].T >= limit)
             i, j = left[i], right[j]
@@ -124,9 +124,9 @@ def near_vectors(vectors: DataFrame, limit: float = LIMIT, tile: int = TILE) ->
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     tasks = met.select("node", "table", F.xxhash64(
         "class", "table", "key", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
-        (F.col("own") > F.col("other")).alias("second"))
+        (F.col("own") != F.col("other")).alias("across"), (F.col("own") > F.col("other")).alias("second"))
     filled = tasks.join(indexed.select("node", "vector", "times", "keys"), "node")
-    links = stored(filled.select("task", "node", "table", "second", "vector", "times", "keys").repartition("task")
+    links = stored(filled.select("task", "node", "table", "across", "second", "vector", "times", "keys").repartition("task")
                    .sortWithinPartitions("task")
                    .mapInPandas(lambda batches: tile_links(batches, limit), "node long, root long, links long"), "vector-links")
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
