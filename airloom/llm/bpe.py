@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,6 +18,11 @@ from airloom.llm.common import texts
 
 MEMO = 600_000  # pieces whose ids a worker remembers before it starts anew
 ROWS = 1_000  # documents per batch handed back
+# Code points that this regex module counts as letters and the tokeniser's older Unicode tables do not.
+NEWER_LETTERS = ("\u209d-\u209f\ua7dd\U00010ed9-\U00010eee\U00011db0-\U00011ddb\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3"
+                 "\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2"
+                 "\U0001b123-\U0001b128\U0001df2b-\U0001df81\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+                 "\U0001e6e7-\U0001e6ed\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f")
 LOAD = 4  # vocabulary entries per displacement
 
 
@@ -142,6 +147,13 @@ class Vocabulary:
         return self.bytes[at].tobytes()
 
 
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """Splits a text into its pieces; texts with newer letters need a slower pattern that leaves these out of ``\\p{L}``."""
+    plain, newer = regex.compile(pattern).findall, regex.compile(f"[{NEWER_LETTERS}]").search
+    strict = regex.compile(pattern.replace(r"\p{L}", rf"[\p{{L}}--[{NEWER_LETTERS}]]"), regex.V1).findall
+    return lambda text: strict(text) if newer(text) else plain(text)
+
+
 @lru_cache(maxsize=4)
 def vocabulary_of(path: str) -> Vocabulary:
     return Vocabulary(read_ranks(path))
@@ -161,7 +173,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_of(path))  # as large as the rank file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, split, memo = shared.value, regex.compile(pattern).findall, {}
+        vocabulary, split, memo = shared.value, splitter(pattern), {}
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):
                 part = batch.slice(first, ROWS)

@@ -79,8 +79,9 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, size: int = SHINGLE, co
 
     # Only shingles of some template go on; the set of them is bounded above and is held by every task.
     vocabulary = F.broadcast(known.select("shingle").distinct())
-    places = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-                         F.posexplode(shingles(F.col("text").cast("string"), size)).alias("at", "shingle"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    places = rows.withColumn("row", F.monotonically_increasing_id()).select(
+        "doc_id", "row", F.posexplode(shingles(F.col("text"), size)).alias("at", "shingle"))
     hits = stored(places.join(vocabulary, "shingle", "left_semi"), "license-hits")
 
     window = F.explode(F.array(*[F.struct(F.lit(w).cast("long").alias("width"), (F.floor(F.col("at") / (w // 2)) - back).alias("window"))

@@ -84,6 +84,24 @@ def count_tokens(train: DataFrame) -> DataFrame:
     return train.mapInPandas(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def common_counts(counts: DataFrame, most: int = COMMON) -> dict[bytes, int]:
+    """Exact counts of the most frequent tokens, ``most`` of them or fewer.
+
+    Tokens are counted by eighths of powers of two of their frequency; the cut lies between two of these classes.
+    """
+    rank = F.floor(F.log2("n") * 8).cast("int")
+    classes = counts.groupBy(rank.alias("rank")).agg(F.count("*").alias("tokens")).orderBy(F.desc("rank")).collect()
+    taken, cut = 0, None  # at most 8 * 63 classes
+    for c in classes:
+        taken += c["tokens"]
+        if taken > most:
+            break
+        cut = c["rank"]
+    if cut is None:
+        return {}
+    return {bytes(r["token"]): r["n"] for r in counts.where(rank >= cut).toLocalIterator()}
+
+
 @dataclass
 class CountFilter:
     """Bits of all shards end to end. A count c is held as levels 1 to 1 + floor(log2 c) of its key."""
@@ -182,7 +200,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, held_out: int = 2, most_bytes
     counts = stored(count_tokens(train), "lm-tokens")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, room = total["n"], float(max(total["n"] + total["v"] + 1, 1))
-    common = {bytes(r["token"]): r["n"] for r in counts.orderBy(F.desc("n"), "token").limit(COMMON).collect()}
+    common = common_counts(counts)
     model, error = build_filter(train, n, most_bytes)
     context = docs.sparkSession.sparkContext
     shared_model, shared_common = context.broadcast(model), context.broadcast(common)  # most_bytes; COMMON entries
@@ -203,7 +221,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, held_out: int = 2, most_bytes
             for tokens in words:
                 tokens.append(END)
                 seen = Counter(tokens)
-                rest = seen.keys() - logs.keys()
+                rest = [t for t in seen if t not in logs]
                 rare.append([{"token": t, "times": seen.pop(t)} for t in rest])
                 known.append(sum(seen.values()))
                 base.append(math.fsum(logs[t] * times for t, times in seen.items()))

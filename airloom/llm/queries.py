@@ -117,7 +117,7 @@ ORACLE: dict[str, str] = {
                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path,
                      regexp_extract(coalesce(rest, ''), '^[^?#]*\\?([^#]*)', 1) AS query FROM p),
-        c AS (SELECT *, list_filter(string_split(query, '&'), x -> x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref)(=|\\z)')) AS q
+        c AS (SELECT *, [x FOR x IN string_split(query, '&') IF x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref)(=|\\z)')] AS q
               FROM h),
         k AS (SELECT *, CASE WHEN regexp_replace(host, '^www\\.', '') <> '' THEN regexp_replace(host, '^www\\.', '') || rtrim(path, '/') ||
                      CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canon,
