@@ -7,18 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-BROADCAST_ROWS = 500_000
-
-
 def surroundings(moments: DataFrame, readings: DataFrame, *, moment_key: list[str], hours: int = 3,
-                 last_timestamps: int = 7, most_moments: int | None = None) -> DataFrame:
+                 last_timestamps: int = 7) -> DataFrame:
     """Readings of the same city within ``hours`` of each moment, keeping the last timestamps of the span.
 
     ``moments`` holds city_id, ``moment_key`` and ``timestamp``. The hour cell in the join key keeps a busy
-    city from landing in one task; each reading meets only the moments whose span touches its hour. A caller
-    that knows how many moments there can be says so in ``most_moments``: where their hour cells stay
-    below ``BROADCAST_ROWS`` they are broadcast and the readings are not shuffled for the join. The ranking
-    cuts every map task's output to ``last_timestamps`` timestamps per moment before the shuffle.
+    city from landing in one task; each reading meets only the moments whose span touches its hour. Adaptive
+    execution picks the join by the size the moments turn out to have. The ranking cuts every map task's
+    output to ``last_timestamps`` timestamps per moment before the shuffle.
     """
     span = F.expr(f"INTERVAL {hours} HOURS")
     hour = F.date_trunc("hour", F.col("timestamp"))
@@ -26,8 +22,6 @@ def surroundings(moments: DataFrame, readings: DataFrame, *, moment_key: list[st
                        F.date_trunc("hour", F.col("timestamp") + span), F.expr("INTERVAL 1 HOUR"))
     wanted = moments.select(*dict.fromkeys(["city_id", *moment_key]), F.col("timestamp").alias("moment"),
                             F.explode(cells).alias("hour_cell"))
-    if most_moments is not None and most_moments * (2 * hours + 1) <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
     near = readings.select("city_id", "timestamp", "parameter", "value", hour.alias("hour_cell"))
     keys = list(dict.fromkeys(["city_id", *moment_key, "moment"]))
     latest_first = W.partitionBy(*keys).orderBy(F.col("timestamp").desc())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from airloom.functions.quality import normalise_weather, quality_flag, canonical_unit
 from airloom.functions.times import instant
 from airloom.operators.filters import changed
-from airloom.schemas import MISSING, READING_KEY
+from airloom.schemas import ARRIVAL_PLACE, MISSING, READING_KEY
 
 _CARRIED = ["value", "unit", "raw_value", "raw_unit", "quality_flag", "source"]
 
@@ -22,8 +22,14 @@ def reading_id(city_id: Column, parameter: Column, timestamp: Column) -> Column:
 
 
 def latest_per_key(batch: DataFrame, keys: list[str] = READING_KEY, order: str = "ingest_seq") -> DataFrame:
-    """The last arrival of every key. Copies of one key are cut on the map side, before the shuffle."""
-    newest_first = W.partitionBy(*keys).orderBy(F.col(order).desc())
+    """The last arrival of every key. Copies of one key are cut on the map side, before the shuffle.
+
+    Arrivals are ordered by fetch time, source and place inside the document, then by what they say, so that
+    the result does not depend on how rows lie in partitions.
+    """
+    told = [c for c in ("source", ARRIVAL_PLACE, "value", "raw_value", "unit", "raw_unit", "quality_flag")
+            if c in batch.columns and c not in keys]
+    newest_first = W.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in dict.fromkeys([order, *told])])
     return batch.withColumn("_arrival", F.row_number().over(newest_first)).where("_arrival = 1").drop("_arrival")
 
 

@@ -21,6 +21,11 @@ MIN_PRECEDING = 24
 WARM_UP_DAYS = 7
 
 
+def check_sensitivity(sensitivity: float) -> None:
+    if not 1.0 <= sensitivity <= 5.0:
+        raise ValueError("sensitivity must be between 1 and 5")
+
+
 def deviates(sensitivity: float) -> Column:
     """A filled enough frame, some spread in it, and an unrounded z-score at or beyond the threshold."""
     z = z_score(F.col("value"), F.col("rolling_avg"), F.col("rolling_stddev"))
@@ -70,8 +75,7 @@ def anomalies(readings: DataFrame, cities: DataFrame, *, as_of: datetime | str |
     first within each series, at the price of a second evaluation from which the sort takes its samples.
     """
     check_days(days, lowest=7)
-    if not 1.0 <= sensitivity <= 5.0:
-        raise ValueError("sensitivity must be between 1 and 5")
+    check_sensitivity(sensitivity)
     totals, scored = _parts(readings, to_utc(as_of), days, city_ids, parameters, include_suspect, until, split_rows)
     found = with_scores(scored.where(deviates(sensitivity)))
     result = found.join(totals, SERIES_KEY).join(city_names(cities), "city_id").select(
@@ -90,6 +94,7 @@ def anomaly_totals(readings: DataFrame, cities: DataFrame, *, as_of: datetime |
                    until: datetime | None = None, split_rows: int | None = SPLIT_ROWS) -> DataFrame:
     """Per series of an active city: readings analysed and anomalies found, also where none were."""
     check_days(days, lowest=7)
+    check_sensitivity(sensitivity)
     totals, scored = _parts(readings, to_utc(as_of), days, city_ids, parameters, include_suspect, until, split_rows)
     found = scored.where(deviates(sensitivity)).groupBy(*SERIES_KEY).agg(F.count(F.lit(1)).alias("anomalies"))
     return totals.join(found, SERIES_KEY, "left").join(city_names(cities), "city_id").select(

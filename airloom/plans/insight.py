@@ -60,11 +60,9 @@ def context_anomalies(readings: DataFrame, as_of: datetime | str | None = None,
     )
 
 
-def _near(readings: DataFrame, moments: DataFrame, moment_key: list[str], now: datetime,
-          most_moments: int | None = None) -> DataFrame:
+def _near(readings: DataFrame, moments: DataFrame, moment_key: list[str], now: datetime) -> DataFrame:
     since = days_before(now, PERIOD_DAYS) - timedelta(hours=WINDOW_HOURS)
-    return surroundings(moments, usable_readings(readings, since=since), moment_key=moment_key, hours=WINDOW_HOURS,
-                        most_moments=most_moments)
+    return surroundings(moments, usable_readings(readings, since=since), moment_key=moment_key, hours=WINDOW_HOURS)
 
 
 def context_windows(readings: DataFrame, top: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
@@ -73,16 +71,14 @@ def context_windows(readings: DataFrame, top: DataFrame, as_of: datetime | str |
     return wide_entries(near, ["city_id", "position"])
 
 
-def anomalies_with_windows(readings: DataFrame, top: DataFrame, now: datetime,
-                           most_moments: int | None = None) -> DataFrame:
+def anomalies_with_windows(readings: DataFrame, top: DataFrame, now: datetime) -> DataFrame:
     """One list of anomalies per city, each with its window.
 
     The anomaly travels through the interval join as part of the key, so the rolling baseline behind ``top``
     is evaluated once. None is lost on the way: every anomaly lies within its own window.
     """
     details = F.struct("parameter", "value", "rolling_avg", "z_score").alias("anomaly")
-    near = _near(readings, top.select("city_id", "position", "timestamp", details), ["position", "anomaly"], now,
-                 most_moments)
+    near = _near(readings, top.select("city_id", "position", "timestamp", details), ["position", "anomaly"], now)
     key = ["city_id", "position", "moment", "anomaly"]
     entry = F.struct("timestamp", F.map_entries("values").alias("values"))
     windows = wide_entries(near, key).groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("context_window"))
@@ -132,10 +128,10 @@ def insight_context(readings: DataFrame, cities: DataFrame, as_of: datetime | st
     valid_pct = share_percent(F.col("valid"), F.col("total_readings")).alias("valid_pct")
     overview = overview.select("city_id", "statistics",
                                F.struct("total_readings", valid_pct, "suspect", "missing").alias("data_quality"))
-    # Anomalies of inactive cities would not be reported, so the dimension bounds what the join may broadcast.
+    # Anomalies of inactive cities would not be reported.
     ours = active(cities).select(F.col("id").alias("city_id"))
     top = context_anomalies(readings, now, split_rows=split_rows).join(ours, "city_id", "left_semi")
-    anomalies = anomalies_with_windows(readings, top, now, TOP_ANOMALIES * ours.count())
+    anomalies = anomalies_with_windows(readings, top, now)
     correlations = context_correlations(readings, now).groupBy("city_id").agg(
         F.sort_array(F.collect_list(F.struct("param1", "param2", "pearson_r", "sample_size"))).alias("correlations"))
     zero = F.lit(0).cast("long")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from airloom.functions.numeric import round_half_up
 from airloom.functions.quality import canonical_unit
-from airloom.functions.times import days_before, interval_name, period_start, to_utc
+from airloom.functions.times import INTERVAL_LABELS, days_before, interval_name, period_start, to_utc
 from airloom.operators.filters import city_names, usable_readings
 from airloom.schemas import SERIES_KEY
 
@@ -62,7 +62,7 @@ def trend(readings: DataFrame, cities: DataFrame, *, as_of: datetime | str | Non
         joined = buckets.join(names, "city_id")
     result = joined.select(
         "city_id", "city_name", "parameter", canonical_unit(F.col("parameter")).alias("unit"),
-        F.lit(interval_name(interval)).alias("interval"), F.lit(days).alias("days"), "period", "avg", "min",
+        F.lit(INTERVAL_LABELS[interval_name(interval)]).alias("interval"), F.lit(days).alias("days"), "period", "avg", "min",
         "max", "reading_count", "total_readings",
     )
     return result.orderBy(*SERIES_KEY, "period") if sort else result

@@ -47,6 +47,8 @@ SUMMARY_PARAMETERS = ("pm25", "pm10", "no2", "o3", "temperature", "humidity", "w
 ANOMALY_PARAMETERS = ("pm25", "pm10", "no2", "o3")
 CONTEXT_PAIRS = (("pm25", "temperature"), ("pm25", "humidity"))
 
+# Place of a reading inside the document it arrived in; optional in staged readings.
+ARRIVAL_PLACE = "ingest_pos"
 READING_KEY = ["city_id", "parameter", "timestamp"]
 SERIES_KEY = ["city_id", "parameter"]
 READING_PARTITIONS = ["parameter", "reading_date"]

@@ -17,6 +17,9 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
+    # State of streams grows with their keys: it is kept on disk, not on the heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 # Settings that only a new session can take. Recording the call site of every column expression costs more
 # than planning the queries does.
@@ -48,16 +51,18 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+    """A fresh folder below the checkpoint folder, which all machines must share.
 
-    Where none is named, a local session (tests) gets a temporary one, which is then its checkpoint folder
-    too. On a cluster that would be some machine's own disk, so there it is an error.
+    It is the one in ``spark.checkpoint.dir`` or set on the context; without one this is an error.
     """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="airloom-"))
-        base = context.getCheckpointDir()
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     return f"{base.rstrip('/')}/airloom/{purpose}-{uuid.uuid4().hex}"
+
+
+def ensure_checkpoint_folder(spark: SparkSession) -> SparkSession:
+    """Where no checkpoint folder is named, as in tests on one machine, set a temporary one."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="airloom-"))
+    return spark

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from airloom.functions.quality import canonical_unit, normalise_weather
 from airloom.functions.times import first_present, instant, parse_hourly, parse_iso
 from airloom.schemas import (
-    CORRUPT_COLUMN, LOCATIONS_DOC, MEASUREMENTS_DOC, POLLUTANTS, STAGED_READINGS, WEATHER_DOC, WEATHER_FIELDS,
+    ARRIVAL_PLACE, CORRUPT_COLUMN, LOCATIONS_DOC, MEASUREMENTS_DOC, POLLUTANTS, STAGED_READINGS, WEATHER_DOC, WEATHER_FIELDS,
 )
 
 # How the two providers are named in the source column.
@@ -52,9 +52,10 @@ def chosen_sensors(locations: DataFrame) -> DataFrame:
     """One sensor per city and known pollutant: the first in station order, then in sensor order.
 
     ``locations`` are documents whose stations are listed nearest first. Where a city has several documents
-    the newest one counts.
+    the newest one counts; of equally new ones the same one in every run.
     """
-    newest = W.partitionBy("city_id").orderBy(F.col("fetched_at").desc_nulls_last())
+    newest = W.partitionBy("city_id").orderBy(parse_iso(F.col("fetched_at")).desc_nulls_last(),
+                                              F.xxhash64("results").desc())
     listed = W.partitionBy("city_id", "parameter").orderBy("station_pos", "sensor_pos")
     stations = (
         locations.where(F.col("results").isNotNull())
@@ -83,9 +84,9 @@ def parse_measurements(documents: DataFrame, sensors: DataFrame, as_of: datetime
     timestamp are dropped. ``sensors`` comes from :func:`chosen_sensors`. With ``as_of``, only the last
     ``keep_hours`` are taken, which is what the provider is asked for.
     """
-    results = documents.select("city_id", "sensor_id", "fetched_at", F.explode("results").alias("result"))
+    results = documents.select("city_id", "sensor_id", "fetched_at", F.posexplode("results").alias("pos", "result"))
     moment = parse_iso(first_present(F.col("result.datetime.utc"), F.col("result.period.datetimeFrom.utc")))
-    rows = results.select("city_id", "sensor_id", "fetched_at", F.col("result.value").alias("value"),
+    rows = results.select("city_id", "sensor_id", "fetched_at", "pos", F.col("result.value").alias("value"),
                           moment.alias("timestamp")).where(F.col("timestamp").isNotNull())
     if as_of is not None:
         rows = rows.where(F.col("timestamp").between(instant(as_of - timedelta(hours=keep_hours)), instant(as_of)))
@@ -94,7 +95,7 @@ def parse_measurements(documents: DataFrame, sensors: DataFrame, as_of: datetime
         canonical_unit(F.col("parameter"), F.col("sensor_unit")).alias("unit"),
         F.col("value").alias("raw_value"), F.col("sensor_unit").alias("raw_unit"), "timestamp",
         F.lit(AIR_SOURCE).alias("source"), F.lit(None).cast("string").alias("quality_flag"),
-        arrival_number(F.col("fetched_at")).alias("ingest_seq"),
+        arrival_number(F.col("fetched_at")).alias("ingest_seq"), F.col("pos").cast("long").alias("ingest_pos"),
     )
 
 
@@ -119,7 +120,7 @@ def parse_weather(documents: DataFrame, as_of: datetime | None = None, *, keep_h
         )
         for field, parameter in WEATHER_FIELDS.items()
     ])
-    rows = hours.select("city_id", "fetched_at", "timestamp", F.explode(entries).alias("entry")).where("entry.present")
+    rows = hours.select("city_id", "fetched_at", "pos", "timestamp", F.explode(entries).alias("entry")).where("entry.present")
     parameter, raw_value, raw_unit = (F.col(f"entry.{name}") for name in ("parameter", "raw_value", "raw_unit"))
     return rows.select(
         "city_id", parameter.alias("parameter"),
@@ -127,7 +128,7 @@ def parse_weather(documents: DataFrame, as_of: datetime | None = None, *, keep_h
         canonical_unit(parameter, raw_unit).alias("unit"),
         raw_value.alias("raw_value"), raw_unit.alias("raw_unit"), "timestamp",
         F.lit(WEATHER_SOURCE).alias("source"), F.lit(None).cast("string").alias("quality_flag"),
-        arrival_number(F.col("fetched_at")).alias("ingest_seq"),
+        arrival_number(F.col("fetched_at")).alias("ingest_seq"), F.col("pos").cast("long").alias("ingest_pos"),
     )
 
 
@@ -137,8 +138,10 @@ def arrival_number(fetched_at):
 
 
 def all_sources(*staged: DataFrame) -> DataFrame:
-    """Bag union of the sources' staged readings."""
+    """Bag union of the sources' staged readings, with their places inside a document where all have them."""
     columns = STAGED_READINGS.fieldNames()
+    if all(ARRIVAL_PLACE in s.columns for s in staged):
+        columns = [*columns, ARRIVAL_PLACE]
     union = staged[0].select(*columns)
     for other in staged[1:]:
         union = union.unionByName(other.select(*columns))

@@ -13,9 +13,6 @@ from airloom.operators.filters import active
 from airloom.operators.upsert import latest_per_key, merge_readings
 from airloom.schemas import CITIES, INSIGHT_CACHE, READING_PARTITIONS, READINGS
 
-PARTITION_LIST_LIMIT = 10_000
-
-
 def create_tables(spark: SparkSession, base: str, database: str = "default") -> None:
     """Declare the three tables below ``base``; running it again changes nothing."""
     layouts = (("readings", READINGS, READING_PARTITIONS), ("cities", CITIES, []),
@@ -54,30 +51,16 @@ def replace_partitions(df: DataFrame, path: str, partitions: list[str], sort: li
     )
 
 
-def touched_partitions(table: DataFrame, batch: DataFrame, partitions: list[str],
-                       list_limit: int = PARTITION_LIST_LIMIT) -> DataFrame:
+def touched_partitions(table: DataFrame, batch: DataFrame, partitions: list[str]) -> DataFrame:
     """The rows of ``table`` in the partitions that ``batch`` falls into.
 
-    The list of partition values is metadata, at most ``list_limit`` entries; as literals it prunes
-    directories before anything is read. A batch spread wider than that goes through a semi join.
+    The first and last value of each partition column, one row whatever the batch, prune directories before
+    anything is read; a semi join then leaves exactly the partitions touched.
     """
-    wanted = batch.select(*partitions).distinct()
-    listed = wanted.limit(list_limit + 1).collect()
-    if len(listed) > list_limit:
-        return table.join(wanted, partitions, "left_semi")
-    if not listed:
-        return table.where(F.lit(False))
-    by_rest: dict[tuple, list] = {}
-    for row in listed:
-        *head, tail = row
-        by_rest.setdefault(tuple(head), []).append(tail)
-    chosen = F.lit(False)
-    for head, tails in by_rest.items():
-        match = F.col(partitions[-1]).isin(tails)
-        for name, value in zip(partitions, head):
-            match = match & (F.col(name) == value)
-        chosen = chosen | match
-    return table.where(chosen)
+    ends = batch.agg(*[f(name).alias(f"{f.__name__}_{name}") for name in partitions for f in (F.min, F.max)]).first()
+    for name in partitions:
+        table = table.where(F.col(name).between(F.lit(ends[f"min_{name}"]), F.lit(ends[f"max_{name}"])))
+    return table.join(batch.select(*partitions).distinct(), partitions, "left_semi")
 
 
 def upsert_readings(spark: SparkSession, batch: DataFrame, path: str, as_of: datetime) -> dict[str, int]:

@@ -62,9 +62,13 @@ def buckets(interval: str, source: str = "valid", where: str = "\"timestamp\" >=
       FROM {source} WHERE {where} GROUP BY 1, 2, 3)"""
 
 
+# Interval labels in reports.
+LABELS = {"hour": "hourly", "day": "daily", "week": "weekly"}
+
+
 def trend(interval: str) -> str:
     return q(buckets(interval) + f"""
-    SELECT b.city_id, c.name AS city_name, parameter, {unit()} AS unit, '{interval}' AS "interval", 30 AS days, period,
+    SELECT b.city_id, c.name AS city_name, parameter, {unit()} AS unit, '{LABELS[interval]}' AS "interval", 30 AS days, period,
            avg, min, max, reading_count,
            CAST(sum(reading_count) OVER (PARTITION BY b.city_id, parameter) AS BIGINT) AS total_readings
     FROM b JOIN cities c ON c.id = b.city_id WHERE c.is_active""")
@@ -375,14 +379,14 @@ ORACLE: dict[str, str] = {
                           + buckets("day", "recent", "\"timestamp\" >= TIMESTAMP '2024-01-29'") + f""",
         wanted AS (SELECT id AS city_id, name AS city_name, parameter FROM cities, (VALUES ('humidity'), ('o3')) t(parameter)
                    WHERE is_active)
-        SELECT w.city_id, city_name, w.parameter, {unit('w.parameter')} AS unit, 'day' AS "interval", 2 AS days, period, avg,
+        SELECT w.city_id, city_name, w.parameter, {unit('w.parameter')} AS unit, 'daily' AS "interval", 2 AS days, period, avg,
                min, max, coalesce(reading_count, 0) AS reading_count,
                CAST(coalesce(sum(reading_count) OVER (PARTITION BY w.city_id, w.parameter), 0) AS BIGINT) AS total_readings
         FROM wanted w LEFT JOIN b ON b.city_id = w.city_id AND b.parameter = w.parameter"""),
     "trend_with_suspect": q(buckets(
         "day", "readings", "\"timestamp\" >= TIMESTAMP '2024-01-01' AND \"timestamp\" < TIMESTAMP '2024-01-20' "
         "AND parameter = 'temperature' AND quality_flag <> 'missing'") + f"""
-        SELECT b.city_id, c.name AS city_name, parameter, {unit()} AS unit, 'day' AS "interval", 30 AS days, period, avg, min,
+        SELECT b.city_id, c.name AS city_name, parameter, {unit()} AS unit, 'daily' AS "interval", 30 AS days, period, avg, min,
                max, reading_count,
                CAST(sum(reading_count) OVER (PARTITION BY b.city_id, parameter) AS BIGINT) AS total_readings
         FROM b JOIN cities c ON c.id = b.city_id WHERE c.is_active"""),

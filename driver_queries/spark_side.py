@@ -30,7 +30,7 @@ from airloom.plans import lookup, summary
 from airloom.plans.documents import to_documents
 from airloom.plans.trend import trend
 from airloom.schemas import LOCATIONS_DOC, MEASUREMENTS_DOC, READING_KEY, VALID, WEATHER_DOC
-from airloom.session import apply_settings, work_folder
+from airloom.session import apply_settings, ensure_checkpoint_folder, work_folder
 from airloom.sources import insights, landed, tables
 from airloom.streaming.baseline import current_scores, score_writer
 from airloom.streaming.ingest import document_stream, upsert_stream
@@ -54,7 +54,7 @@ def without_zone(df: DataFrame) -> DataFrame:
 def registered(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return without_zone(query(apply_settings(spark), folder))
+        return without_zone(query(ensure_checkpoint_folder(apply_settings(spark)), folder))
 
     QUERIES[query.__name__] = run
     return run

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
@@ -25,8 +24,8 @@ def city_frame(spark, *rows):
 
 
 def seed_cities(spark):
-    return city_frame(spark, ("london", "London", "United Kingdom", "GB", True),
-                      ("manchester", "Manchester", "United Kingdom", "GB", True))
+    return city_frame(spark, ("derby", "Derby", "United Kingdom", "GB", True),
+                      ("leeds", "Leeds", "United Kingdom", "GB", True))
 
 
 def reading_frame(spark, rows, created=None):
@@ -47,14 +46,10 @@ def staged_frame(spark, rows):
 
 
 def seed_readings(spark):
-    """Fifty hourly PM2.5 readings of one city around 12.5 with one spike."""
-    rng = random.Random(42)
-    start = at("2026-02-19")
-    rows = []
-    for hour in range(50):
-        value = 45.0 if hour == 43 else round(max(8, min(18, rng.gauss(12.5, 1.5))), 2)
-        rows.append(("london", "pm25", value, start + timedelta(hours=hour)))
-    return reading_frame(spark, rows)
+    """Sixty hourly PM2.5 readings of one city in a sawtooth between 20 and 25, with one spike."""
+    start = at("2026-02-18T09:00:00")
+    values = [71.5 if hour == 37 else 20 + hour * 7 % 11 / 2 for hour in range(60)]
+    return reading_frame(spark, [("derby", "pm25", v, start + timedelta(hours=h)) for h, v in enumerate(values)])
 
 
 def one(spark, column):

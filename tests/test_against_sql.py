@@ -46,12 +46,11 @@ def test_every_sql_has_its_query():
     assert set(ORACLE) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+# Its SQL would have to write Spark's JSON text; test_insights checks the hash.
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"insight_context_hash"}))
 def test_query(spark, duck, name):
     result = QUERIES[name](spark, FOLDER).toPandas()
-    if name not in ORACLE:
-        assert len(result.columns) > 0
-        return
+    assert name in ORACLE, "a query without SQL is not checked"
     expected = duck.execute(ORACLE[name]).df()
     assert sorted(result.columns) == sorted(expected.columns)
     assert rows_of(result) == rows_of(expected)

@@ -27,30 +27,30 @@ def rows_of(df, *names):
 
 def test_spike_is_a_high_anomaly(spark):
     found = anomalies(seed_readings(spark), seed_cities(spark), as_of=AS_OF).collect()
-    spike = [r for r in found if r["timestamp"].strftime("%Y-%m-%dT%H") == "2026-02-20T19"]
-    assert len(spike) == 1 and spike[0]["severity"] == "high" and spike[0]["value"] == 45.0
-    assert spike[0]["total_readings_analysed"] == 50
+    spike = [r for r in found if r["timestamp"].strftime("%Y-%m-%dT%H") == "2026-02-19T22"]
+    assert len(spike) == 1 and spike[0]["severity"] == "high" and spike[0]["value"] == 71.5
+    assert spike[0]["total_readings_analysed"] == 60
 
 
 def test_baseline_needs_twenty_four_rows(spark):
     readings = seed_readings(spark)
-    late = readings.where(F.col("timestamp") >= F.lit("2026-02-19T20:00:00Z").cast("timestamp"))
-    assert anomalies(late, seed_cities(spark), as_of=AS_OF).where("value = 45").count() == 0
+    late = readings.where(F.col("timestamp") >= F.lit("2026-02-19T05:00:00Z").cast("timestamp"))
+    assert anomalies(late, seed_cities(spark), as_of=AS_OF).where("value = 71.5").count() == 0
 
 
 def test_warm_up_rows_are_used_but_not_reported(spark):
     start = at("2026-02-01")
-    rows = [("london", "pm25", 10.0 + (i % 3), start + timedelta(hours=i)) for i in range(24 * 14)]
-    rows[24 * 3] = ("london", "pm25", 90.0, start + timedelta(days=3))
-    rows[24 * 7 + 1] = ("london", "pm25", 95.0, start + timedelta(days=7, hours=1))
+    rows = [("derby", "pm25", 10.0 + (i % 3), start + timedelta(hours=i)) for i in range(24 * 14)]
+    rows[24 * 3] = ("derby", "pm25", 90.0, start + timedelta(days=3))
+    rows[24 * 7 + 1] = ("derby", "pm25", 95.0, start + timedelta(days=7, hours=1))
     found = anomalies(reading_frame(spark, rows), seed_cities(spark), as_of="2026-02-15", days=7, sort=True).collect()
     assert [r["value"] for r in found] == [95.0]
     assert found[0]["total_readings_analysed"] == 24 * 7
 
 
 def test_constant_series_has_no_anomaly(spark):
-    rows = [("london", "pm25", 0.1, at("2026-02-19") + timedelta(hours=i)) for i in range(40)]
-    rows.append(("london", "pm25", 9.0, at("2026-02-21T00:00:00")))
+    rows = [("derby", "pm25", 0.1, at("2026-02-19") + timedelta(hours=i)) for i in range(40)]
+    rows.append(("derby", "pm25", 9.0, at("2026-02-21T00:00:00")))
     readings = reading_frame(spark, rows)
     assert anomalies(readings, seed_cities(spark), as_of=AS_OF).count() == 0
     totals = anomaly_totals(readings, seed_cities(spark), as_of=AS_OF).first()
@@ -62,7 +62,7 @@ def test_argument_limits(spark):
     for call in (
         lambda: anomalies(readings, cities, sensitivity=0.5), lambda: anomalies(readings, cities, days=3),
         lambda: trend(readings, cities, days=0), lambda: trend(readings, cities, interval="year"),
-        lambda: trend(readings, cities, keep_empty=True), lambda: compare(readings, cities, city_ids=["london"]),
+        lambda: trend(readings, cities, keep_empty=True), lambda: compare(readings, cities, city_ids=["derby"]),
         lambda: ranking(readings, cities, limit=101), lambda: correlation(readings, cities, "pm25", "pm25"),
         lambda: readings_range(readings, start="2026-02-20", end="2026-02-19"),
         lambda: readings_page(readings, limit=0),
@@ -113,19 +113,19 @@ def test_sliced_series_have_exact_baselines(spark):
 
 def test_trend_counts_add_up_and_weeks_are_iso(spark):
     readings, cities = seed_readings(spark), seed_cities(spark)
-    for interval, buckets in (("hour", 50), ("day", 3), ("weekly", 1)):
+    for interval, buckets in (("hour", 60), ("day", 3), ("weekly", 1)):
         got = trend(readings, cities, as_of=AS_OF, interval=interval).collect()
         assert len(got) == buckets
-        assert sum(r["reading_count"] for r in got) == 50 == got[0]["total_readings"]
-    empty = trend(readings, cities, as_of=AS_OF, parameters=["pm25"], city_ids=["manchester"], keep_empty=True).first()
+        assert sum(r["reading_count"] for r in got) == 60 == got[0]["total_readings"]
+    empty = trend(readings, cities, as_of=AS_OF, parameters=["pm25"], city_ids=["leeds"], keep_empty=True).first()
     assert empty["period"] is None and empty["total_readings"] == 0 and empty["unit"] == "µg/m³"
 
 
 def test_trend_ignores_inactive_cities_and_keeps_future_rows(spark):
-    cities = city_frame(spark, ("london", "London", "UK", "GB", True), ("old", "Old", "UK", "GB", False))
-    rows = [("london", "pm25", 1.0, at("2026-02-25")), ("old", "pm25", 2.0, at("2026-02-20"))]
+    cities = city_frame(spark, ("derby", "Derby", "UK", "GB", True), ("old", "Old", "UK", "GB", False))
+    rows = [("derby", "pm25", 1.0, at("2026-02-25")), ("old", "pm25", 2.0, at("2026-02-20"))]
     got = trend(reading_frame(spark, rows), cities, as_of=AS_OF)
-    assert rows_of(got, "city_id", "avg") == [("london", 1.0)]
+    assert rows_of(got, "city_id", "avg") == [("derby", 1.0)]
     assert trend(reading_frame(spark, rows), cities, as_of=AS_OF, until=at("2026-02-21")).count() == 0
 
 
@@ -175,7 +175,7 @@ def test_correlation_edge_cases(spark):
 
 
 def test_health_tolerates_one_missed_cycle(spark):
-    rows = [("london", "pm25", 1.0, at("2026-02-20T10:00:00"))]
+    rows = [("derby", "pm25", 1.0, at("2026-02-20T10:00:00"))]
     readings = reading_frame(spark, rows)
     fresh, stale = (health(readings, as_of=t).first() for t in ("2026-02-20T12:00:00Z", "2026-02-20T12:00:01Z"))
     assert (fresh["status"], fresh["staleness_minutes"]) == ("healthy", 120.0)
@@ -183,12 +183,12 @@ def test_health_tolerates_one_missed_cycle(spark):
     nothing = health(readings.where("1 = 0"), as_of=AS_OF).first()
     assert (nothing["status"], nothing["last_ingestion_at"]) == ("healthy", None)
     by_city = {r["city_id"]: r["status"] for r in freshness(readings, seed_cities(spark), as_of="2026-02-20T11:00:00Z").collect()}
-    assert by_city == {"london": "healthy", "manchester": "degraded"}
+    assert by_city == {"derby": "healthy", "leeds": "degraded"}
 
 
 def test_range_lookup_is_closed_and_flag_aware(spark):
-    rows = [("london", "pm25", 1.0, at("2026-02-20T00:00:00")), ("london", "pm25", 999.0, at("2026-02-20T01:00:00"), "suspect"),
-            ("london", "pm25", None, at("2026-02-20T02:00:00")), ("london", "pm25", 4.0, at("2026-02-20T03:00:00"))]
+    rows = [("derby", "pm25", 1.0, at("2026-02-20T00:00:00")), ("derby", "pm25", 999.0, at("2026-02-20T01:00:00"), "suspect"),
+            ("derby", "pm25", None, at("2026-02-20T02:00:00")), ("derby", "pm25", 4.0, at("2026-02-20T03:00:00"))]
     readings = reading_frame(spark, rows)
     span = {"start": "2026-02-20T00:00:00Z", "end": "2026-02-20T03:00:00Z"}
     assert sorted(rows_of(readings_range(readings, **span), "value")) == [(1.0,), (4.0,)]
@@ -200,19 +200,19 @@ def test_range_lookup_is_closed_and_flag_aware(spark):
 def test_summaries(spark):
     readings, cities = seed_readings(spark), seed_cities(spark)
     row = air_quality_summary(readings, cities, as_of=AS_OF).first()
-    assert (row["city_id"], row["max"], row["aqi_category"], row["reading_count"]) == ("london", 45.0, "moderate", 50)
+    assert (row["city_id"], row["max"], row["aqi_category"], row["reading_count"]) == ("derby", 71.5, "moderate", 60)
     by_city = {r["city_id"]: r for r in anomaly_summary(readings, cities, as_of=AS_OF).collect()}
-    assert by_city["london"]["high"] >= 1 and by_city["london"]["top_anomalies"][0]["value"] == 45.0
-    assert by_city["manchester"]["total"] == 0 and by_city["manchester"]["top_anomalies"] == []
-    requests = spark.createDataFrame([(1, "LONDON"), (2, "Atlantis")], "request_seq long, requested_name string")
+    assert by_city["derby"]["high"] >= 1 and by_city["derby"]["top_anomalies"][0]["value"] == 71.5
+    assert by_city["leeds"]["total"] == 0 and by_city["leeds"]["top_anomalies"] == []
+    requests = spark.createDataFrame([(1, "DERBY"), (2, "Atlantis")], "request_seq long, requested_name string")
     assert rows_of(compare_summary(readings, cities, requests, as_of=AS_OF), "city_id", "rank", "trend") == [
-        ("london", 1, "n/a")]
+        ("derby", 1, "n/a")]
 
 
 def test_documents_nest_rows_in_order(spark):
     rows = trend(seed_readings(spark), seed_cities(spark), as_of=AS_OF, sort=False)
     document = to_documents(rows, ["city_id", "parameter"], ["period", "reading_count"], "data").first()["document"]
-    assert document.index("2026-02-19") < document.index("2026-02-20") < document.index("2026-02-21")
+    assert document.index("2026-02-18") < document.index("2026-02-19") < document.index("2026-02-20")
 
 
 def km(a, b):

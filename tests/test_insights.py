@@ -18,11 +18,11 @@ def readings(spark):
     for i in range(24 * 14):
         moment = start + timedelta(hours=i)
         pm25 = 10.0 + (i % 5) + (6.0 if i >= 24 * 7 else 0.0)
-        rows.append(("london", "pm25", 80.0 if i == 24 * 12 else pm25, moment))
-        rows.append(("london", "temperature", 20.0 - (i % 5), moment))
-        rows.append(("london", "humidity", 40.0, moment))
-    rows.append(("london", "no2", 999.0, at("2026-02-20T00:30:00"), "suspect"))
-    rows.append(("london", "no2", None, at("2026-02-20T01:30:00")))
+        rows.append(("derby", "pm25", 80.0 if i == 24 * 12 else pm25, moment))
+        rows.append(("derby", "temperature", 20.0 - (i % 5), moment))
+        rows.append(("derby", "humidity", 40.0, moment))
+    rows.append(("derby", "no2", 999.0, at("2026-02-20T00:30:00"), "suspect"))
+    rows.append(("derby", "no2", None, at("2026-02-20T01:30:00")))
     return reading_frame(spark, rows)
 
 
@@ -32,21 +32,21 @@ def context(spark, readings):
 
 
 def test_statistics_and_quality(context):
-    london, manchester = context["london"], context["manchester"]
-    pm25 = london["statistics"]["pm25"]
+    derby, leeds = context["derby"], context["leeds"]
+    pm25 = derby["statistics"]["pm25"]
     assert pm25["trend_direction"] == "rising" and pm25["trend_pct_change"] > 10 and pm25["reading_count"] == 168
-    assert london["statistics"]["humidity"]["trend_direction"] == "stable"
-    assert "no2" not in london["statistics"]
-    quality = london["data_quality"]
+    assert derby["statistics"]["humidity"]["trend_direction"] == "stable"
+    assert "no2" not in derby["statistics"]
+    quality = derby["data_quality"]
     assert (quality["total_readings"], quality["suspect"], quality["missing"]) == (506, 1, 1)
     assert quality["valid_pct"] == round(504 / 506 * 100, 1)
-    assert london["period"] == "2026-02-14 to 2026-02-21"
-    assert (manchester["statistics"], manchester["anomalies"], manchester["correlations"]) == ({}, [], [])
-    assert manchester["data_quality"]["total_readings"] == 0
+    assert derby["period"] == "2026-02-14 to 2026-02-21"
+    assert (leeds["statistics"], leeds["anomalies"], leeds["correlations"]) == ({}, [], [])
+    assert leeds["data_quality"]["total_readings"] == 0
 
 
 def test_anomalies_carry_their_surroundings(context):
-    anomalies = context["london"]["anomalies"]
+    anomalies = context["derby"]["anomalies"]
     assert len(anomalies) == 5 and [a["position"] for a in anomalies] == [1, 2, 3, 4, 5]
     assert max(a["value"] for a in anomalies) == 80.0
     spike = next(a for a in anomalies if a["value"] == 80.0)
@@ -56,14 +56,14 @@ def test_anomalies_carry_their_surroundings(context):
 
 
 def test_correlations_without_variance_are_left_out(context):
-    assert [(c["param1"], c["param2"], c["sample_size"]) for c in context["london"]["correlations"]] == [
+    assert [(c["param1"], c["param2"], c["sample_size"]) for c in context["derby"]["correlations"]] == [
         ("pm25", "temperature", 168)]
 
 
 def test_flags(spark, readings):
     rows = insight.insight_context(readings, seed_cities(spark), AS_OF)
     got = {r["city_id"]: (r["concern_flag"], r["action_flag"]) for r in insight.insight_flags(rows).collect()}
-    assert got == {"london": (True, True), "manchester": (False, False)}
+    assert got == {"derby": (True, True), "leeds": (False, False)}
 
 
 def test_hash_is_stable_and_sees_changes(spark, readings, context):
@@ -72,7 +72,7 @@ def test_hash_is_stable_and_sees_changes(spark, readings, context):
     assert again == {c: r["context_hash"] for c, r in context.items()}
     other = readings.withColumn("value", F.when(F.col("parameter") == "humidity", 41.0).otherwise(F.col("value")))
     changed = {r["city_id"]: r["context_hash"] for r in insight.insight_context(other, seed_cities(spark), AS_OF).collect()}
-    assert changed["london"] != again["london"] and changed["manchester"] == again["manchester"]
+    assert changed["derby"] != again["derby"] and changed["leeds"] == again["leeds"]
 
 
 def cache_frame(spark, *rows):
@@ -99,17 +99,17 @@ def test_refresh_plan_skips_served_cities(spark, readings):
     hour = timedelta(hours=1)
     cities = seed_cities(spark)
     context = {r["city_id"]: r["context_hash"] for r in insight.insight_context(readings, cities, AS_OF).collect()}
-    cache = cache_frame(spark, ("1", "manchester", AS_OF - hour, AS_OF + hour, "x"),
-                        ("2", "london", AS_OF - 9 * hour, AS_OF - hour, context["london"]))
+    cache = cache_frame(spark, ("1", "leeds", AS_OF - hour, AS_OF + hour, "x"),
+                        ("2", "derby", AS_OF - 9 * hour, AS_OF - hour, context["derby"]))
     got = {r["city_id"]: r["action"] for r in insight.refresh_plan(readings, cities, cache, AS_OF).collect()}
-    assert got == {"manchester": "serve_cached", "london": "extend"}
+    assert got == {"leeds": "serve_cached", "derby": "extend"}
     forced = {r["action"] for r in insight.refresh_plan(readings, cities, cache, AS_OF, force=True).collect()}
     assert forced == {"regenerate"}
 
 
 def test_cache_table(spark, tmp_path):
     path = str(tmp_path / "insights")
-    texts = spark.createDataFrame([("london", "text", "h", "writer", 100, 10), ("york", "text", "h", "writer", 50, 5)],
+    texts = spark.createDataFrame([("derby", "text", "h", "writer", 100, 10), ("york", "text", "h", "writer", 50, 5)],
                                   "city_id string, insight_text string, context_hash string, model_used string, "
                                   "input_tokens int, output_tokens int")
     for day in (AS_OF, AS_OF + timedelta(days=1)):
@@ -126,7 +126,7 @@ def test_cache_table(spark, tmp_path):
     assert insights.read_insights(spark, path).count() == 4
     audit = {(r["city_id"], str(r["day"])): (r["input_tokens"], r["output_tokens"], r["insights"])
              for r in insights.token_audit(insights.read_insights(spark, path)).collect()}
-    assert audit[("london", "2026-02-21")] == (100, 10, 1) and len(audit) == 4
+    assert audit[("derby", "2026-02-21")] == (100, 10, 1) and len(audit) == 4
     feed = {r["city_id"]: r["expired"] for r in insight.insight_feed(
         seed_cities(spark), insights.read_insights(spark, path), later + timedelta(days=5)).collect()}
-    assert feed == {"london": True}
+    assert feed == {"derby": True}

@@ -10,6 +10,7 @@ from airloom.plans import ingest
 from airloom.schemas import CITIES, LOCATIONS_DOC, READINGS
 from airloom.session import work_folder
 from airloom.sources import landed, tables
+from airloom.sources.landed import chosen_sensors, parse_measurements
 from helpers import NOON, at, city_frame, reading_frame, seed_cities, staged_frame
 
 FIRST, SECOND, THIRD = at("2026-02-21"), at("2026-02-22"), at("2026-02-23")
@@ -29,33 +30,33 @@ def batch(spark, *rows):
 
 
 def test_upsert_inserts_corrects_and_repeats_without_effect(spark, folder):
-    first = batch(spark, ("london", "pm25", 10.0, 0, 1), ("london", "pm25", 11.0, 1, 2), ("london", "no2", 5.0, 0, 3))
+    first = batch(spark, ("derby", "pm25", 10.0, 0, 1), ("derby", "pm25", 11.0, 1, 2), ("derby", "no2", 5.0, 0, 3))
     assert tables.upsert_readings(spark, first, folder, FIRST) == {"inserted": 3, "updated": 0}
     before = stored(spark, folder)
     assert tables.upsert_readings(spark, first, folder, SECOND) == {"inserted": 0, "updated": 0}
     assert stored(spark, folder) == before
 
-    second = batch(spark, ("london", "pm25", 12.0, 0, 1), ("london", "pm25", None, 1, 2), ("paris", "pm25", 1.0, 0, 3))
+    second = batch(spark, ("derby", "pm25", 12.0, 0, 1), ("derby", "pm25", None, 1, 2), ("paris", "pm25", 1.0, 0, 3))
     assert tables.upsert_readings(spark, second, folder, SECOND) == {"inserted": 1, "updated": 2}
     after = stored(spark, folder)
-    corrected, blanked, untouched = (after["london", "pm25", 12], after["london", "pm25", 13], after["london", "no2", 12])
-    assert corrected["value"] == 12.0 and corrected["created_at"] == before["london", "pm25", 12]["created_at"]
-    assert corrected["updated_at"] > corrected["created_at"] and corrected["id"] == before["london", "pm25", 12]["id"]
+    corrected, blanked, untouched = (after["derby", "pm25", 12], after["derby", "pm25", 13], after["derby", "no2", 12])
+    assert corrected["value"] == 12.0 and corrected["created_at"] == before["derby", "pm25", 12]["created_at"]
+    assert corrected["updated_at"] > corrected["created_at"] and corrected["id"] == before["derby", "pm25", 12]["id"]
     assert (blanked["value"], blanked["quality_flag"]) == (None, "missing")
-    assert untouched == before["london", "no2", 12]
+    assert untouched == before["derby", "no2", 12]
     assert len(after) == 4
 
 
 def test_unit_or_source_alone_changes_nothing(spark, folder):
-    first = batch(spark, ("london", "pm25", 10.0, 0, 1))
+    first = batch(spark, ("derby", "pm25", 10.0, 0, 1))
     tables.upsert_readings(spark, first, folder, FIRST)
     renamed = first.withColumns({"unit": F.lit("other"), "source": F.lit("other")})
     assert tables.upsert_readings(spark, renamed, folder, SECOND)["updated"] == 0
-    assert stored(spark, folder)["london", "pm25", 12]["unit"] == "u"
+    assert stored(spark, folder)["derby", "pm25", 12]["unit"] == "u"
 
 
 def test_last_arrival_of_a_batch_wins(spark):
-    rows = batch(spark, ("london", "pm25", 1.0, 0, 1), ("london", "pm25", 3.0, 0, 9), ("london", "pm25", 2.0, 0, 5))
+    rows = batch(spark, ("derby", "pm25", 1.0, 0, 1), ("derby", "pm25", 3.0, 0, 9), ("derby", "pm25", 2.0, 0, 5))
     assert [r["value"] for r in latest_per_key(rows).collect()] == [3.0]
     empty = spark.createDataFrame([], READINGS)
     merged = merge_readings(empty, rows, FIRST).collect()
@@ -69,31 +70,32 @@ def test_ids_follow_from_the_key(spark):
 
 
 def test_only_touched_partitions_are_rewritten(spark, folder):
-    tables.upsert_readings(spark, batch(spark, ("london", "pm25", 1.0, 0, 1), ("london", "pm25", 1.0, 48, 2)), folder, FIRST)
+    tables.upsert_readings(spark, batch(spark, ("derby", "pm25", 1.0, 0, 1), ("derby", "pm25", 1.0, 48, 2)), folder, FIRST)
     path = F.input_file_name()
     files = lambda: dict(tables.read_readings(spark, folder).select("reading_date", path).collect())
     old = files()
-    tables.upsert_readings(spark, batch(spark, ("london", "pm25", 2.0, 0, 1)), folder, SECOND)
+    tables.upsert_readings(spark, batch(spark, ("derby", "pm25", 2.0, 0, 1)), folder, SECOND)
     new = files()
     days = sorted(old)
     assert old[days[0]] != new[days[0]] and old[days[1]] == new[days[1]]
 
 
-def test_wide_batches_use_a_semi_join_for_the_same_partitions(spark, folder):
-    tables.upsert_readings(spark, batch(spark, *[("london", "pm25", 1.0, 24 * d, d) for d in range(5)]), folder, FIRST)
+def test_touched_partitions_are_pruned_and_exact(spark, folder):
+    tables.upsert_readings(spark, batch(spark, *[("derby", "pm25", 1.0, 24 * d, d) for d in range(5)]), folder, FIRST)
     some = batch(spark, ("x", "pm25", 1.0, 24, 1), ("x", "pm25", 1.0, 72, 1)).withColumn(
         "reading_date", F.to_date("timestamp"))
     table = tables.read_readings(spark, folder)
-    for limit in (1, 100):
-        picked = tables.touched_partitions(table, some, ["parameter", "reading_date"], list_limit=limit)
-        assert picked.count() == 2
+    picked = tables.touched_partitions(table, some, ["parameter", "reading_date"])
+    assert picked.count() == 2
+    filters = picked._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+    assert "reading_date" in filters.split("]")[0]
     assert tables.touched_partitions(table, some.where("1 = 0"), ["parameter", "reading_date"]).count() == 0
 
 
 def test_time_bounds_prune_partitions(spark, folder):
     from airloom.operators.filters import usable_readings
 
-    tables.upsert_readings(spark, batch(spark, *[("london", "pm25", 1.0, 24 * d, d) for d in range(5)]), folder, FIRST)
+    tables.upsert_readings(spark, batch(spark, *[("derby", "pm25", 1.0, 24 * d, d) for d in range(5)]), folder, FIRST)
     recent = usable_readings(tables.read_readings(spark, folder), since=at("2026-02-23"), parameters=["pm25"])
     plan = recent._jdf.queryExecution().toString()
     partition_filters = plan[plan.index("PartitionFilters"):].split("PushedFilters")[0]
@@ -111,12 +113,12 @@ def test_reprocess_starts_from_the_raw_values(spark):
 
 def test_constraint_violations(spark):
     rows = reading_frame(spark, [
-        ("london", "pm25", 1.0, NOON), ("london", "pm25", 2.0, NOON), ("london", "no2", 1.0, NOON, "odd"),
-        ("atlantis", "o3", 1.0, NOON), ("london", "co", 1.0, NOON, "missing")])
+        ("derby", "pm25", 1.0, NOON), ("derby", "pm25", 2.0, NOON), ("derby", "no2", 1.0, NOON, "odd"),
+        ("atlantis", "o3", 1.0, NOON), ("derby", "co", 1.0, NOON, "missing")])
     got = sorted((r["rule"], r["city_id"], r["parameter"], r["violating_rows"])
                  for r in constraint_violations(rows, seed_cities(spark)).collect())
-    assert got == [("city_reference", "atlantis", "o3", 1), ("missing_means_null", "london", "co", 1),
-                   ("quality_flag_domain", "london", "no2", 1), ("unique_key", "london", "pm25", 2)]
+    assert got == [("city_reference", "atlantis", "o3", 1), ("missing_means_null", "derby", "co", 1),
+                   ("quality_flag_domain", "derby", "no2", 1), ("unique_key", "derby", "pm25", 2)]
 
 
 def test_tables_are_declared_once(spark, tmp_path):
@@ -145,7 +147,7 @@ def test_work_folders_lie_in_the_shared_folder(spark):
 
 
 def test_bound_sql(spark):
-    tables.register_views(reading_frame(spark, [("london", "pm25", 1.0, NOON), ("paris", "pm25", 2.0, NOON)]), seed_cities(spark))
+    tables.register_views(reading_frame(spark, [("derby", "pm25", 1.0, NOON), ("paris", "pm25", 2.0, NOON)]), seed_cities(spark))
     got = tables.run_sql(spark, "SELECT value FROM readings WHERE city_id = :city", {"city": "paris"})
     assert [r["value"] for r in got.collect()] == [2.0]
 
@@ -160,7 +162,7 @@ def lines(path, *documents):
 
 
 WEATHER = {
-    "city_id": "london", "fetched_at": "2026-02-20T12:00:00Z",
+    "city_id": "derby", "fetched_at": "2026-02-20T12:00:00Z",
     "hourly": {"time": ["2026-02-20T10:00", "bad", "2026-02-20T12:00", "2026-02-20T13:00"],
                "temperature_2m": [5.0, 6.0, None], "wind_speed_10m": [18.0, 1.0, 36.0, 0.09]},
     "hourly_units": {"temperature_2m": "°C", "wind_speed_10m": "km/h"},
@@ -183,15 +185,15 @@ def station(name, *sensors):
 
 
 def test_air_quality_documents(spark, tmp_path):
-    old = {"city_id": "london", "fetched_at": "2026-02-19T00:00:00Z", "results": [station("gone", (99, "pm25", "x"))]}
-    new = {"city_id": "london", "fetched_at": "2026-02-20T00:00:00Z", "results": [
+    old = {"city_id": "derby", "fetched_at": "2026-02-19T00:00:00Z", "results": [station("gone", (99, "pm25", "x"))]}
+    new = {"city_id": "derby", "fetched_at": "2026-02-20T00:00:00Z", "results": [
         station("near", (1, "PM25", "µg/m³"), (2, "radon", "Bq")), station("far", (3, "pm25", "µg/m³"), (4, "o3", None))]}
     sensors = landed.chosen_sensors(landed.read_locations(spark, lines(tmp_path / "l", old, new)))
     assert sorted((r["parameter"], r["sensor_id"], r["sensor_unit"], r["station_name"]) for r in sensors.collect()) == [
         ("o3", 4, "µg/m³", "far"), ("pm25", 1, "µg/m³", "near")]
 
     def doc(sensor, *results):
-        return {"city_id": "london", "sensor_id": sensor, "fetched_at": "2026-02-20T12:00:00Z", "results": list(results)}
+        return {"city_id": "derby", "sensor_id": sensor, "fetched_at": "2026-02-20T12:00:00Z", "results": list(results)}
 
     documents = landed.read_measurements(spark, lines(
         tmp_path / "m",
@@ -216,14 +218,14 @@ def test_unreadable_lines_are_kept_apart(spark, tmp_path):
 
 
 def test_ingest_cycle(spark, tmp_path, folder):
-    cities = city_frame(spark, ("london", "London", "UK", "GB", True), ("paris", "Paris", "FR", "FR", True),
+    cities = city_frame(spark, ("derby", "Derby", "UK", "GB", True), ("paris", "Paris", "FR", "FR", True),
                         ("rome", "Rome", "IT", "IT", True), ("old", "Old", "UK", "GB", False))
     weather = landed.parse_weather(landed.read_weather(spark, lines(tmp_path / "w", WEATHER, {**WEATHER, "city_id": "old"})))
     extra = staged_frame(spark, [("paris", "pm25", 900.0, NOON, 1)])
     staged = ingest.stage_readings(cities, weather, extra)
     stats = {r["city_id"]: r for r in ingest.ingest_stats(staged, cities).collect()}
-    assert set(stats) == {"london", "paris", "rome"}
-    assert (stats["london"]["readings_fetched"], stats["london"]["quality_valid"], stats["london"]["quality_missing"]) == (5, 4, 1)
+    assert set(stats) == {"derby", "paris", "rome"}
+    assert (stats["derby"]["readings_fetched"], stats["derby"]["quality_valid"], stats["derby"]["quality_missing"]) == (5, 4, 1)
     assert (stats["paris"]["quality_suspect"], stats["rome"]["readings_fetched"], stats["paris"]["readings_skipped"]) == (1, 0, 0)
 
     merged = merge_readings(tables.read_readings(spark, folder), staged, FIRST)
@@ -231,3 +233,26 @@ def test_ingest_cycle(spark, tmp_path, folder):
     report = ingest.cycle_report(cities, ingest.merge_counts(merged), errors).first()
     assert tuple(report) == (3, 2, 1, 6)
     assert ingest.run_ingest(spark, staged, folder, FIRST) == {"inserted": 6, "updated": 0}
+
+
+def test_last_place_in_a_document_wins_in_any_partitioning(spark):
+    from airloom.operators.upsert import latest_per_key
+
+    hours = ", ".join(f"(named_struct('value', {v}D, 'datetime', named_struct('utc', '2026-02-20T{h:02d}:00:00Z'), 'period', "
+                      "named_struct('datetimeFrom', named_struct('utc', string(null)))))" for v in (1, 2) for h in range(10))
+    documents = spark.sql(f"SELECT 'derby' AS city_id, 5L AS sensor_id, '2026-02-20T12:00:00Z' AS fetched_at, array({hours}) AS results")
+    sensors = spark.createDataFrame([("derby", "pm25", 5, "µg/m³", "s")],
+                                    "city_id string, parameter string, sensor_id long, sensor_unit string, station_name string")
+    staged = parse_measurements(documents, sensors)
+    for parts in (1, 3, 7):
+        kept = latest_per_key(staged.repartition(parts)).collect()
+        assert len(kept) == 10 and {r["value"] for r in kept} == {2.0}
+
+
+def test_newest_location_document_is_newest_by_instant(spark):
+    old, new = "2026-02-20T12:00:00+02:00", "2026-02-20T11:00:00Z"
+    station = "array(named_struct('name', '{0}', 'sensors', array(named_struct('id', {1}L, 'parameter', named_struct('name', 'pm25', 'units', 'u')))))"
+    documents = spark.sql(" UNION ALL ".join(
+        f"SELECT 'derby' AS city_id, '{at_}' AS fetched_at, {station.format(name, number)} AS results"
+        for at_, name, number in ((old, "old", 1), (new, "new", 2))))
+    assert chosen_sensors(documents).first()["sensor_id"] == 2
