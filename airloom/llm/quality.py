@@ -32,7 +32,7 @@ _IS = {  # byte classes by ASCII range; bytes from 128 on belong to letters of o
     "symbol": np.isin(_BYTES, list(b"#$%&*+/<=>@[]\\\\^_`{}~")),
     "high": _BYTES >= 128,
 }
-STATISTICS = [*_IS, "words", "word_length", "same_as_before", "distinct", "same_lines", "longest"]
+STATISTICS = [*_IS, "words", "word_length", "same_as_before", "distinct", "same_lines"]
 
 
 def statistics(text: str) -> list[float]:
@@ -47,8 +47,7 @@ def statistics(text: str) -> list[float]:
     same = sum(map(bytes.__eq__, words, words[1:])) / (n + FEW_WORDS)
     lines = raw.split(b"\\n")
     return shares + [float(np.log1p(n)), float(np.log1p((len(raw) - counts[_IS["space"]].sum()) / n)), float(same),
-                     float(np.log1p(len(set(words))) / np.log1p(n)), 1 - len(set(lines)) / len(lines),
-                     float(np.log1p(max(map(len, words))))]
+                     float(np.log1p(len(set(words))) / np.log1p(n)), 1 - len(set(lines)) / len(lines)]
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
