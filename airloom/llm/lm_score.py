@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from airloom.llm.common import remainder, stored, texts, words_of
 
 END, START = b"", b" "  # no word is empty or holds a space
-BITS = 12  # of the filter per event
+BITS = 10  # of the filter per event
 PROBES = 4  # bits set per event
 MOST_BYTES = 1 << 30  # of the broadcast filter; beyond it false positives rise and ``false_positive`` tells how far
 SHARD_TOKENS = 1_000_000  # training tokens per shard of the filter, at least LEAST_SHARDS shards
 LEAST_SHARDS = 64
 PRIOR = 50.0  # weight of the one-word model against the counts of a history
-COMMON = 1 << 18  # tokens whose exact counts are broadcast; the counts of all others are joined
+COMMON = 1 << 17  # tokens whose exact counts are broadcast; the counts of all others are joined
 PART = 1_000  # documents handled at once
 HELD = 400_000  # distinct tokens counted in memory before they are handed on
 
@@ -40,21 +40,29 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mix(before * _A + _mix(word))
 
 
-def _indexed(parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Places(dict):
+    """Numbers words in the order they are first asked for; START has place 0."""
+
+    def __init__(self):
+        super().__init__({START: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        return place
+
+
+def _indexed(parts: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words, and for every token its word's place and the place of the word before it.
 
-    Each text ends with END and its first token follows START, which is place 0.
+    Each text ends with END and its first token follows START.
     """
-    places: dict[bytes, int] = {START: 0}
-    words, before = [], []
+    places, words, before = Places(), [], []
     for tokens in parts:
-        at = [places.setdefault(w, len(places)) for w in tokens]
-        at.append(places.setdefault(END, len(places)))
-        words += at
-        before.append(0)
-        before += at[:-1]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, places), np.uint64)
-    return hashes, np.array(words, np.int64), np.array(before, np.int64)
+        at = np.fromiter(map(places.__getitem__, [START, *tokens, END]), np.int32, len(tokens) + 2)
+        words.append(at[1:])
+        before.append(at[:-1])
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, places), np.uint64, len(places))
+    return hashes, np.concatenate(words), np.concatenate(before)
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,7 +158,7 @@ def _shard_bits(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[n
 def build_filter(train: DataFrame, tokens: int, most_bytes: int = MOST_BYTES) -> tuple[CountFilter, float]:
     """The filter of all words and word pairs of ``train``, and its estimated rate of false positives.
 
-    Pairs are counted per task, then per shard of the key space; each shard sets its own bits. The driver gets
+    Pairs are counted per task, packed per shard of the key space, and each shard sets its own bits. The driver gets
     the bits alone, ``most_bytes`` at most.
     """
     shards = max(LEAST_SHARDS, math.ceil(tokens / SHARD_TOKENS))
@@ -159,22 +167,26 @@ def build_filter(train: DataFrame, tokens: int, most_bytes: int = MOST_BYTES) ->
         for batch in batches:
             for first in range(0, len(batch), 4 * PART):
                 part = batch.iloc[first:first + 4 * PART]
-                hashes, word, before = _indexed([words_of(t) for t in part["text"]])
+                hashes, word, before = _indexed(words_of(t) for t in part["text"])
                 single = np.bincount(word, minlength=len(hashes))
                 single[0] = len(part)
                 pairs, n = np.unique(pair_keys(hashes[before], hashes[word]), return_counts=True)
-                keys, n = np.concatenate([hashes, pairs]), np.concatenate([single, n])
-                yield pd.DataFrame({"shard": (keys % np.uint64(shards)).astype(np.int32), "key": keys.view(np.int64),
-                                    "n": n.astype(np.int32)})
+                keys, n = np.concatenate([hashes, pairs]), np.concatenate([single, n]).astype(np.int32)
+                shard = (keys % np.uint64(shards)).astype(np.int32)
+                order = np.argsort(shard, kind="stable")
+                cuts = np.cumsum(np.bincount(shard, minlength=shards))[:-1]
+                yield pd.DataFrame({"shard": np.arange(shards, dtype=np.int32),
+                                    "keys": [k.tobytes() for k in np.split(keys[order], cuts)],
+                                    "n": [c.tobytes() for c in np.split(n[order], cuts)]})
 
     most_bits = most_bytes * 8 // shards
 
     def filled(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, at = np.unique(rows["key"].to_numpy().view(np.uint64), return_inverse=True)
-        bits, events = _shard_bits(keys, np.bincount(at, rows["n"].to_numpy()), most_bits)
+        keys, at = np.unique(np.frombuffer(b"".join(rows["keys"]), np.uint64), return_inverse=True)
+        bits, events = _shard_bits(keys, np.bincount(at, np.frombuffer(b"".join(rows["n"]), np.int32)), most_bits)
         return pd.DataFrame({"shard": rows["shard"].iloc[:1], "events": [events], "bits": [bits.tobytes()]})
 
-    made = stored(train.mapInPandas(counted, "shard int, key long, n int").groupBy("shard")
+    made = stored(train.mapInPandas(counted, "shard int, keys binary, n binary").groupBy("shard")
                   .applyInPandas(filled, "shard int, events long, bits binary"), "lm-filter")
     empty = np.zeros(8, np.uint8)
     parts, events = [empty] * shards, 0
@@ -202,12 +214,12 @@ def score_texts(docs: DataFrame, modulus: int = 7, held_out: int = 2, most_bytes
     n, room = total["n"], float(max(total["n"] + total["v"] + 1, 1))
     common = common_counts(counts)
     model, error = build_filter(train, n, most_bytes)
+    logs = {token: math.log10((c + 1) / room) for token, c in common.items()}
     context = docs.sparkSession.sparkContext
-    shared_model, shared_common = context.broadcast(model), context.broadcast(common)  # most_bytes; COMMON entries
+    shared_model, shared_logs = context.broadcast(model), context.broadcast(logs)  # most_bytes; COMMON entries
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, common = shared_model.value, shared_common.value
-        logs = {token: math.log10((c + 1) / room) for token, c in common.items()}
+        model, logs = shared_model.value, shared_logs.value
         for part in _parts(batches):
             words = [words_of(t) for t in part["text"]]
             hashes, word, before = _indexed(words)
