@@ -29,7 +29,7 @@ _IS = {  # byte classes by ASCII range; bytes from 128 on belong to letters of o
     "stop": np.isin(_BYTES, [33, 46, 63]),
     "shout": _BYTES == 33,
     "bar": _BYTES == 124,
-    "symbol": np.isin(_BYTES, list(b"#$%&*+/<=>@[]\\\\^_`{}~")),
+    "symbol": np.isin(_BYTES, list(b"#$%&*+/<=>@[]\\^_`{}~")),
     "high": _BYTES >= 128,
 }
 STATISTICS = [*_IS, "words", "word_length", "same_as_before", "distinct", "same_lines"]
@@ -45,7 +45,7 @@ def statistics(text: str) -> list[float]:
     shares = [float(np.sqrt(counts[mask].sum() / (len(raw) + FEW_BYTES))) for mask in _IS.values()]
     n = len(words)
     same = sum(map(bytes.__eq__, words, words[1:])) / (n + FEW_WORDS)
-    lines = raw.split(b"\\n")
+    lines = [line for line in raw.split(b"\n") if not line.isspace() and line]  # a blank line repeats nothing
     return shares + [float(np.log1p(n)), float(np.log1p((len(raw) - counts[_IS["space"]].sum()) / n)), float(same),
                      float(np.log1p(len(set(words))) / np.log1p(n)), 1 - len(set(lines)) / len(lines)]
 

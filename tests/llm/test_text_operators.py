@@ -234,6 +234,12 @@ def test_quality_on_held_out_labels(spark, folder):
     assert kept.join(labels.where("quality = 1"), "doc_id").count() > 0.98 * labels.where("quality = 1").count()
 
 
+def test_repeated_lines_move_their_statistic():
+    at = quality.STATISTICS.index("same_lines")
+    assert quality.statistics("one line\nanother\none line\none line")[at] == 0.5
+    assert quality.statistics("one line\n\nanother\n\nthird\n")[at] == 0 and quality.statistics(r"a\n a\n a")[at] == 0
+
+
 def test_quality_of_odd_rows(odd_docs, no_docs, spark):
     labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (5, None), (None, 0), (6, 7), (9, 0), (7, 1)], "doc_id long, quality int")
     rows = quality.score_quality(odd_docs, labels).collect()
