@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 import urllib.parse
 import zlib
@@ -29,6 +30,10 @@ URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 UNICODE_ONE = re.compile(r"\\u\{?([0-9A-Fa-f]{1,6})\}?|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Lines of one run that was wrapped: full ones, and a last one of any length.
+WRAPPED_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]{16,}+)*"
+                         r"\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++={0,2}")
+SEPARATOR = re.compile(r"[/_-]+")
 
 Span = tuple[str, int, int]
 
@@ -102,22 +107,70 @@ def _unpacked(raw: bytes) -> bytes | None:
     return made if inflate.eof else None
 
 
-def _from_base64(run: str) -> str | None:
-    """Text in a base64 run, through any compression; None if it holds no text."""
-    bare = run.rstrip("=").replace("-", "+").replace("_", "/")
+def _bytes_of(run: str) -> bytes | None:
+    bare = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
     if len(bare) % 4 == 1:
-        return None
+        bare = bare[:-1]  # six bits are no byte
     try:
-        raw = base64.b64decode(bare + "=" * (-len(bare) % 4))
+        return base64.b64decode(bare + "=" * (-len(bare) % 4))
     except binascii.Error:
         return None
-    while (inner := _unpacked(raw)) is not None:
+
+
+def _packed(head: bytes) -> bool:
+    """Whether zlib or gzip data may begin so; two bytes are enough to tell."""
+    return head[:2] == b"\x1f\x8b" or (head[:1] == b"\x78" and len(head) > 1 and int.from_bytes(head[:2], "big") % 31 == 0)
+
+
+def _text_of(raw: bytes) -> str:
+    """The bytes as text through any compression; bytes that are not UTF-8 become U+FFFD."""
+    seen = set()
+    while (inner := _unpacked(raw)) is not None and (mark := hashlib.sha256(inner).digest()) not in seen:
+        seen.add(mark)
         raw = inner
+    return raw.decode(errors="replace")
+
+
+def _plain(raw: bytes) -> bool:
+    """Whether a layer is text as it stands: a first guess only, other layers count if scanning them finds something."""
     try:
-        text = raw.decode()
+        return all(c.isprintable() or c in "\t\n\r" for c in raw.decode())
     except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        return False
+
+
+def _tells(text: str) -> bool:
+    """Whether a text holds a secret, or a coded run that does when decoded further."""
+    if find_spans(text):
+        return True
+    return any(made not in (None, m[0]) and _tells(made)
+               for pattern, decode in ((URL_RUN, urllib.parse.unquote), (UNICODE_RUN, _unescaped), (BASE64_RUN, _from_base64))
+               for m in pattern.finditer(text) for made in [decode(m[0])])
+
+
+def _from_base64(run: str) -> str | None:
+    """Text in a base64 run, through any compression; None if no reading of it holds text or tells a secret.
+
+    The whole run is read first. Where that gives no text, the parts after each separator and the other three
+    alignments are tried, since a run may be glued to a word, a path or an escape before it; what precedes
+    the reading stays as it is.
+    """
+    raw = _bytes_of(run)
+    if raw is not None:
+        if _plain(raw):
+            return raw.decode()
+        text = _text_of(raw)
+        if _unpacked(raw) is not None or _tells(text):
+            return text
+    # Plain text after any separator appears in one of the alignments; only packed data has to start at its own place.
+    packed = [m.end() for m in SEPARATOR.finditer(run) if _packed(_bytes_of(run[m.end():m.end() + 4]) or b"")]
+    for start in [1, 2, 3, *packed]:
+        if len(run) - start < 16:
+            continue
+        raw = _bytes_of(run[start:])
+        if raw is not None and _tells(text := _text_of(raw)):
+            return run[:start] + text
+    return None
 
 
 def scan(text: str) -> tuple[list[Span], set[Span], int, int]:
@@ -143,7 +196,7 @@ def scan(text: str) -> tuple[list[Span], set[Span], int, int]:
 
     while work:
         layer = work.pop()
-        for pattern, decode in ((URL_RUN, urllib.parse.unquote), (UNICODE_RUN, _unescaped), (BASE64_RUN, inner)):
+        for pattern, decode in ((URL_RUN, urllib.parse.unquote), (UNICODE_RUN, _unescaped), (WRAPPED_RUN, inner), (BASE64_RUN, inner)):
             made = _replaced(layer, pattern, decode)
             if made is None or made.text in seen:
                 continue

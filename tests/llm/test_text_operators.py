@@ -149,6 +149,29 @@ def test_layers_end_and_keep_base_spans():
     assert base == secrets.find_spans(text) and layers < 50 and ("assign", 0, 30) in base
 
 
+@pytest.mark.parametrize("before", ["", "\u00a0", "\u200b", "\ufeff", "\f"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress])
+def test_layers_of_any_characters(before, pack):
+    for raw in (f"{before} so {KEY} {before}".encode(), f"{before} so {KEY} ".encode() + b"\xff"):
+        text = "x " + base64.b64encode(pack(raw)).decode() + " y"
+        assert [s[0] for s in secrets.scan(text)[1]] == ["access"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("pack", [bytes, zlib.compress])
+def test_wrapped_runs_are_one(end, pack):
+    coded = base64.b64encode(pack(f"some words {'and more ' * 5} {KEY} {HEX} tail".encode())).decode()
+    lines = end.join(coded[i:i + 76] for i in range(0, len(coded), 76))
+    kinds = {s[0] for s in secrets.scan(f"key:\n{lines}\nend of it")[1]}
+    assert kinds == {"access", "hex"}
+
+
+@pytest.mark.parametrize("before", ["data/", "a_", "-", "x", "xy", "xyz", "\\n", "/a/bc/"])
+def test_runs_glued_to_what_precedes_them(before):
+    hidden = base64.b64encode(f"so {KEY} it is".encode()).decode()
+    assert [s[0] for s in secrets.scan(f"see {before}{hidden} there")[1]] == ["access"]
+
+
 def test_oversize_layers_are_counted(monkeypatch):
     monkeypatch.setattr(secrets, "MOST_BYTES", 1_000)
     assert secrets.scan("x " + coded("a" * 5_000, "zlib"))[3] == 1
