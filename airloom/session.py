@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,6 +25,7 @@ SETTINGS = {
 # Settings that only a new session can take. Recording the call site of every column expression costs more
 # than planning the queries does.
 START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+LOCAL_MASTER = re.compile(r"local(\[[^\]]*\])?")
 
 
 def build_session(app_name: str = "airloom", master: str | None = None,
@@ -62,7 +64,22 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def ensure_checkpoint_folder(spark: SparkSession) -> SparkSession:
-    """Where no checkpoint folder is named, as in tests on one machine, set a temporary one."""
+    """Set a temporary checkpoint folder where none is named and all tasks run in this process, as in tests.
+
+    On a cluster a folder of one machine would be missing on the others, so there its absence is an error.
+    """
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not LOCAL_MASTER.fullmatch(spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="airloom-"))
     return spark
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once to a fresh folder in the shared one and read back.
+
+    Later steps start from the files: neither its plan nor lost executors cost them anything.
+    """
+    path = work_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
