@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airloom.session import ensure_checkpoint_folder, written
+
 # The letters that lower-casing touches and the characters that separate words.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -32,20 +32,10 @@ def remainder(column: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share; a temporary one only where the session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="airloom-llm-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later steps do not depend on lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    ensure_checkpoint_folder(df.sparkSession)
+    return written(df, f"llm-{name}")
 
 
 def groups(batches: Iterable[pd.DataFrame], key: str) -> Iterator[dict[str, np.ndarray]]:

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airloom.llm import bpe, embedding, exact_dedup, license_scan, lm_score, mixing, quality, secrets, simhash, url_filter
+from airloom.llm import bpe, embedding, exact_dedup, license_scan, lm_score, merkle, mixing, quality, secrets, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -91,6 +91,17 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Proofs of all documents, checked against documents of which some have lost their line ends."""
+    lossy = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    shown = F.when(lossy, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    fields = [shown if f == "text" else F.col(f) for f in merkle.FIELDS]
+    made = merkle.build_manifest(table(spark, folder, "documents"), also={"shown": merkle.leaf(fields)})
+    checked = merkle.verify(made.proofs(), "shown")
+    return checked.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root",
+                          merkle.path_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
 def reachable(query: Query) -> Query:
     """Python workers of a session started elsewhere find the package, too."""
     root = str(Path(__file__).resolve().parents[2])
@@ -107,7 +118,7 @@ def reachable(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {q.__name__: reachable(q) for q in (
     op1_lm_scoring, op2_simhash_near_dedup, op3_secret_scans, op4_license_scans, op5_embedding_near_dedup, op6_url_filters,
-    op7_quality_classifier, op8_mixing_to_targets, op9_byte_bpe, op10_exact_dedup)}
+    op7_quality_classifier, op8_mixing_to_targets, op9_byte_bpe, op10_exact_dedup, op13_merkle_manifest)}
 
 ORACLE: dict[str, str] = {
     "op6_url_filters": """
