@@ -120,6 +120,16 @@ QUERIES: dict[str, Query] = {q.__name__: reachable(q) for q in (
     op1_lm_scoring, op2_simhash_near_dedup, op3_secret_scans, op4_license_scans, op5_embedding_near_dedup, op6_url_filters,
     op7_quality_classifier, op8_mixing_to_targets, op9_byte_bpe, op10_exact_dedup, op13_merkle_manifest)}
 
+def _told(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+# Whether crc32 of the decimal doc_id is even: every byte (and after it eight shifts, written as -1) in turn.
+_EVEN = """(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
+            FOR b IN string_split(doc_id::VARCHAR, '')])), LAMBDA crc, b: CASE WHEN b >= 0 THEN xor(crc, b)
+            ELSE xor(crc >> 1, (crc & 1) * 3988292384) END) & 1) = 1"""
+_FIELDS = ("doc_id", "source", "lang", "n_chars")
+
 ORACLE: dict[str, str] = {
     "op6_url_filters": """
         WITH p AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
@@ -148,4 +158,54 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(text) AS text_sha256
         FROM t WINDOW g AS (PARTITION BY text)""",
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, source, sha256(concat_ws('', {', '.join(map(_told, (*_FIELDS, 'text')))})) AS leaf, sha256(concat_ws('', {', '.join(map(_told, (*_FIELDS, 'shown_text')))})) AS shown
+            FROM (SELECT *, CASE WHEN {_EVEN} THEN replace(text, chr(10), '') ELSE text END AS shown_text FROM documents)),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                   count(*) OVER (PARTITION BY source) AS held FROM leaves),
+        up AS (
+            SELECT source, pos, leaf AS digest, 0 AS height, held FROM placed
+            UNION ALL
+            SELECT source, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), height + 1, (held + 2) // 3
+            FROM up WHERE held > 1 GROUP BY source, pos // 3, height, held),
+        tops AS (
+            SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS held
+            FROM up WHERE held = 1),
+        over AS (
+            SELECT pos, subroot AS digest, 0 AS height, held FROM tops
+            UNION ALL
+            SELECT pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), height + 1, (held + 2) // 3
+            FROM over WHERE held > 1 GROUP BY pos // 3, height, held),
+        steps AS (
+            SELECT p.source, p.pos, u.height,
+                   coalesce(string_agg(u.digest, '' ORDER BY u.pos) FILTER (u.pos < p.pos // (3 ** u.height)::BIGINT), '') AS before,
+                   coalesce(string_agg(u.digest, '' ORDER BY u.pos) FILTER (u.pos > p.pos // (3 ** u.height)::BIGINT), '') AS after
+            FROM placed p JOIN up u ON p.source IS NOT DISTINCT FROM u.source AND u.held > 1
+                 AND u.pos // 3 = (p.pos // (3 ** u.height)::BIGINT) // 3
+            GROUP BY p.source, p.pos, u.height
+            UNION ALL
+            SELECT p.source, p.pos, 1000 + u.height,
+                   coalesce(string_agg(u.digest, '' ORDER BY u.pos) FILTER (u.pos < t.pos // (3 ** u.height)::BIGINT), ''),
+                   coalesce(string_agg(u.digest, '' ORDER BY u.pos) FILTER (u.pos > t.pos // (3 ** u.height)::BIGINT), '')
+            FROM placed p JOIN tops t ON p.source IS NOT DISTINCT FROM t.source
+                 JOIN over u ON u.held > 1 AND u.pos // 3 = (t.pos // (3 ** u.height)::BIGINT) // 3
+            GROUP BY p.source, p.pos, u.height),
+        ordered AS (
+            SELECT source, pos, height, before, after, row_number() OVER (PARTITION BY source, pos ORDER BY height) AS step
+            FROM steps),
+        fold AS (
+            SELECT source, pos, 0 AS step, shown AS digest FROM placed
+            UNION ALL
+            SELECT f.source, f.pos, f.step + 1, sha256(concat(o.before, f.digest, o.after))
+            FROM fold f JOIN ordered o ON f.source IS NOT DISTINCT FROM o.source AND f.pos = o.pos AND o.step = f.step + 1),
+        ends AS (SELECT source, pos, arg_max(digest, step) AS folded_root FROM fold GROUP BY source, pos),
+        proofs AS (SELECT source, pos, sha256(string_agg(before || after, '' ORDER BY step)) AS proof FROM ordered GROUP BY source, pos)
+        SELECT p.doc_id, p.leaf, t.subroot, r.digest AS root, coalesce(q.proof, sha256('')) AS proof_sha256,
+               e.folded_root, e.folded_root = r.digest AS verified
+        FROM placed p JOIN tops t ON p.source IS NOT DISTINCT FROM t.source
+        JOIN ends e ON p.source IS NOT DISTINCT FROM e.source AND p.pos = e.pos
+        LEFT JOIN proofs q ON p.source IS NOT DISTINCT FROM q.source AND p.pos = q.pos
+        CROSS JOIN (SELECT digest FROM over WHERE held = 1) r""",
 }
