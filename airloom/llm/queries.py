@@ -11,10 +11,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airloom.llm import bpe, embedding, exact_dedup, license_scan, lm_score, merkle, mixing, quality, secrets, simhash, url_filter
+from airloom.llm import (bpe, embedding, exact_dedup, license_scan, lm_score, merkle, mixing, quality, secrets, simhash,
+                         token_files, url_filter, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 RANKS = "byte_bpe_multi_50k.tiktoken"
+TOKENISER = "byte_bpe_50k.json"
 TARGETS = {"en": 0.5, "fr": 0.2, "de": 0.18, "es": 0.12}
 
 # The rules that urls are judged by.
@@ -91,6 +93,21 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows, fitted, error = whitening.whiten(table(spark, folder, "embeddings"))
+    shares = fitted.explained if fitted else []
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(fitted.n if fitted else 0).cast("long").alias("n"),
+                       F.col("deviation").cast("long").alias("deviation"), "whitened",
+                       F.array(*map(F.lit, shares)).cast("array<double>")[F.col("at")].alias("explained"),
+                       F.lit(error).alias("identity_error"))
+
+
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    made = token_files.write_token_files(table(spark, folder, "documents"), public_tokenizers.path(TOKENISER))
+    return token_files.read_files(made).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Proofs of all documents, checked against documents of which some have lost their line ends."""
     lossy = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -118,7 +135,8 @@ def reachable(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {q.__name__: reachable(q) for q in (
     op1_lm_scoring, op2_simhash_near_dedup, op3_secret_scans, op4_license_scans, op5_embedding_near_dedup, op6_url_filters,
-    op7_quality_classifier, op8_mixing_to_targets, op9_byte_bpe, op10_exact_dedup, op13_merkle_manifest)}
+    op7_quality_classifier, op8_mixing_to_targets, op9_byte_bpe, op10_exact_dedup,
+    op11_embedding_whitening, op12_token_files, op13_merkle_manifest)}
 
 def _told(column: str) -> str:
     return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
