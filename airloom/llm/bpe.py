@@ -163,14 +163,11 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, np.int32).tobytes()
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` for every row of ``docs`` (``doc_id``, ``text``; other columns are ignored).
-
-    ``path`` is a rank file that the driver reads, ``pattern`` splits the text into pieces; each piece is encoded by
-    itself and no special tokens exist. A null text is empty and has no ids. Ids may be null and repeat;
-    every row gives a row. Texts and pieces have no length limit: a piece costs n log n.
-    """
+def _coded(docs: DataFrame, path: str, pattern: str, back: bool) -> DataFrame:
+    """Rows with their ids and, with ``back``, the bytes these stand for: one pass of one worker per task."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_of(path))  # as large as the rank file
+    schema = "doc_id long, n_tokens long, ids array<int>" + (", decoded binary" if back else "")
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, split, memo = shared.value, splitter(pattern), {}
@@ -192,9 +189,28 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 sizes = np.array([len(m) // 4 for m in made], np.int64)
                 flat = np.frombuffer(b"".join(made), np.int32)
                 ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids], ["doc_id", "n_tokens", "ids"])
+                columns = [part.column(0), pa.array(sizes), ids]
+                if back:
+                    ends = np.cumsum(sizes)
+                    columns.append(pa.array([vocabulary.decode(flat[x:y]) for x, y in zip(ends - sizes, ends)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return texts(docs).mapInArrow(run, schema)
+
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded``: what :func:`encode` gives, and the bytes its ids stand for."""
+    return _coded(docs, path, pattern, back=True)
+
+
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id, n_tokens, ids`` for every row of ``docs`` (``doc_id``, ``text``; other columns are ignored).
+
+    ``path`` is a rank file that the driver reads, ``pattern`` splits the text into pieces; each piece is encoded by
+    itself and no special tokens exist. A null text is empty and has no ids. Ids may be null and repeat;
+    every row gives a row. Texts and pieces have no length limit: a piece costs n log n.
+    """
+    return _coded(docs, path, pattern, back=False)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

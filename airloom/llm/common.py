@@ -27,6 +27,27 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_digest(docs: DataFrame) -> Column:
+    """SHA-256 of the text column, null counting as empty."""
+    return F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"), 256)
+
+
+def chosen(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` named in ``rows`` (``doc_id``, ``sha``), whole; of rows equal in both one stays."""
+    sha = fresh(docs, "sha")
+    named = docs.withColumn(sha, text_digest(docs))
+    kept = named.join(rows, named["doc_id"].cast("long").eqNullSafe(rows["doc_id"]) & (named[sha] == rows["sha"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", sha]).drop(sha)
+
+
 def remainder(column: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id has remainder 0."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus, F.lit(0))

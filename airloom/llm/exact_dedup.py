@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from airloom.llm.common import stored, texts
+from airloom.llm.common import chosen, stored, texts
 
 CAPACITY = 100_000
 MAX_BITS = 16
@@ -77,9 +77,5 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_bits: int = MAX_B
 
 def drop_copies(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    kept = exact_dedup(docs, **settings).where("kept").select(F.col("doc_id").alias("_id"),
-                                                              F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
-    found = docs.withColumn("_sha_", sha).join(
-        kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha_") == F.col("_sha")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_sha_"]).drop("_sha_")
+    kept = exact_dedup(docs, **settings).where("kept").select("doc_id", F.col("text_sha256").alias("sha"))
+    return chosen(docs, kept)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airloom.llm.common import stored, texts, words_of
+from airloom.llm.common import fresh, stored, texts, words_of
 
 PULL = 1e-3  # weight of staying near the plain rate of 1
 STEPS = 60
@@ -154,6 +154,7 @@ def repeat_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict[str, f
     Rows without id stay once. Rows that repeat a doc_id are one document and take the largest of their copies.
     """
     rated = mix(docs.where("doc_id is not null"), labelled, targets, least=1.0)
-    more = rated.where("copies > 1").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    times = F.explode(F.sequence(F.lit(1), F.coalesce(F.col("_copies"), F.lit(1)).cast("int")))
-    return docs.join(more, "doc_id", "left").withColumn("_copy", times).select(docs.columns)
+    more = rated.where("copies > 1").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    joined = docs.join(more, docs["doc_id"].cast("long") == more["doc_id"], "left")
+    times = F.explode(F.sequence(F.lit(1), F.coalesce(more["copies"], F.lit(1)).cast("int")))
+    return joined.select(*[docs[c] for c in docs.columns], times.alias(fresh(docs, "copy"))).select(docs.columns)

@@ -83,7 +83,7 @@ def op8_mixing_to_targets(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
-    coded = bpe.decode(bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN), path)
+    coded = bpe.round_trip(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", id_digest(F.col("ids")).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 

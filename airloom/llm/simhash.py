@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from airloom.llm.common import groups, stored, texts, words_of
+from airloom.llm.common import chosen, groups, stored, text_digest, texts, words_of
 from airloom.llm.components import components, local_roots
 
 SHINGLE = 3
@@ -40,14 +40,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+    """``doc_id``, ``sha`` (of the text) and ``fp``, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": made.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "sha": batch["sha"], "fp": made.view(np.int64)})
 
-    return texts(docs).mapInPandas(run, "doc_id long, fp long")
+    whole = texts(docs)
+    return whole.withColumn("sha", text_digest(whole)).mapInPandas(run, "doc_id long, sha string, fp long")
 
 
 def _close(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,6 +113,16 @@ def tile_tasks(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
             .union(other.select(task, "fp", F.lit(True).alias("second"))))
 
 
+def linked(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """``fp, root``: for every fingerprint of ``prints`` one that stands for its component."""
+    distinct = stored(prints.select("fp").distinct(), "simhash-distinct")
+    tasks = tile_tasks(distinct, radius, tile)
+    links = (tasks.repartition("task").sortWithinPartitions("task")
+             .mapInPandas(lambda batches: tile_links(batches, radius), "u long, v long"))
+    found = components(links, "simhash-links")
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs`` (``doc_id``, ``text``; others are ignored).
 
@@ -121,25 +132,23 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     has none. No rows give no rows.
     """
     prints = stored(fingerprints(docs, shingle), "simhash-prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    tasks = tile_tasks(distinct.select("fp"), radius, tile)
-    links = (tasks.repartition("task").sortWithinPartitions("task")
-             .mapInPandas(lambda batches: tile_links(batches, radius), "u long, v long"))
-    found = components(links, "simhash-links")
-    tied = distinct.join(found, distinct["fp"] == found["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    roots = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    tied = linked(prints, radius, tile)
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    roots = tied.join(first, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = tied.join(roots, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose doc_id leads its component, one row for each id, with all their columns.
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of ``docs`` for each component of linked fingerprints, with all its columns.
 
-    Rows that repeat a doc_id are one document. Rows without one cannot lead a group and all stay.
+    The row with the smallest doc_id stays, one without id only where none of its component has one. Of rows that share the
+    id, the text whose SHA-256 is smallest stays; of rows equal in id and text, one.
     """
-    found = simhash_groups(docs, **settings)
-    leaders = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(
-        docs.where("doc_id is null"))
+    prints = stored(fingerprints(docs, shingle), "simhash-prints")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sha")
+    # A candidate per fingerprint, found per task first; then one per component.
+    first = prints.groupBy("fp").agg(F.min(row).alias("row"))
+    leaders = linked(prints, radius, tile).join(first, "fp").groupBy("root").agg(F.min("row").alias("row"))
+    return chosen(docs, leaders.select("row.doc_id", "row.sha")).select(docs.columns)

@@ -10,6 +10,8 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ LEAST_IDS = 1 << 20  # a table is not cut into files smaller than this for the s
 READ_BLOCKS = 64  # blocks that a reading task takes
 LEVEL = 3
 ROWS = 500  # documents per batch handed back
-MEMO, MEMO_CHARS = 200_000, 64  # words whose ids a worker remembers before it starts anew, and their length
+MEMO, MEMO_CHARS = 400_000, 64  # words, twice so many at most, whose ids a worker remembers, and their length
 STRETCH = 1 << 20  # characters of a long text that are cut into words at once
 END = 0
 
@@ -44,6 +46,15 @@ TRAILER = struct.Struct("<QII8s")  # offset of the index, its records, its crc32
 
 # Encoding
 
+# The pattern of byte-level pieces, over characters whose class no version of the tables disputes.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \t\n\r0-9{_LETTERS}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+PLAIN = re.compile(f"[\t\n\r -~{_LETTERS}]*").fullmatch
+# A byte that prints stands for itself, the others for the letters from U+0100 on, in order.
+_PRINTS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
+
+
 def _one_by_one(settings: dict) -> bool:
     """Whether the file describes plain byte-level BPE, whose pieces hold white space at their front only."""
     split = settings.get("pre_tokenizer") or {}
@@ -52,13 +63,14 @@ def _one_by_one(settings: dict) -> bool:
             and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space"))
 
 
-class WordEncoder:
+class TextEncoder:
     """Ids of texts as the library gives them, packed in ``width`` bytes each.
 
-    A byte-level piece holds white space before its letters, digits or signs or consists of it, so a text may be cut
-    before every space that follows something else, and the words between cuts are encoded by themselves: equal words
-    are encoded once. Texts that hold the string of an added token, and those of other kinds of tokenisers, are
-    encoded whole.
+    A byte-level piece holds white space before its letters, digits or signs or consists of it, so every space that
+    follows something else starts a new piece, and the words between such spaces are encoded by themselves, equal
+    ones once. New words of plain characters are cut into pieces here, and the library's model gives the ids of new
+    pieces; all other words the library encodes whole. Texts that hold the string of an added token, and those of other
+    kinds of tokenisers, are not cut at all.
     """
 
     # U+180E counts as white space in old tables only; cutting less is always right.
@@ -70,22 +82,49 @@ class WordEncoder:
         self.library = Tokenizer.from_str(settings)
         told = json.loads(settings)
         self.added = [t["content"] for t in told.get("added_tokens", [])]
-        self.by_word = _one_by_one(told)
+        self.by_piece = _one_by_one(told)
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        letter = "H" if self.width.itemsize == 2 else "I"
+        self.packs = [struct.Struct(f"<{n}{letter}").pack for n in range(64)]
+        self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}  # ids of a space and the word
+        self.older: dict[str, bytes] = {}
 
     def whole(self, strings: list[str]) -> list[bytes]:
         made = self.library.encode_batch_fast(strings, add_special_tokens=False)
         return [np.array(e.ids, self.width).tobytes() for e in made]
 
+    def learn_pieces(self, pieces: list[str]) -> None:
+        """Ids of pieces: their bytes, written in the letters the vocabulary is kept in, through the library's model."""
+        tokenize, packs, made = self.library.model.tokenize, self.packs, []
+        for told in "\0".join(pieces).encode().decode("latin-1").translate(BYTE_LETTERS).split(BYTE_LETTERS[0]):
+            ids = [token.id for token in tokenize(told)]
+            made.append(packs[len(ids)](*ids) if len(ids) < 64 else np.array(ids, self.width).tobytes())
+        self.pieces.update(zip(pieces, made))
+
+    def learn_words(self, words: set[str]) -> None:
+        plain = list(filter(PLAIN, words))
+        cut = list(map(PIECES.findall, map(" ".__add__, plain)))
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
+        new = list(set(chain.from_iterable(cut)).difference(self.pieces))
+        if new:
+            self.learn_pieces(new)
+        ids = self.pieces.__getitem__
+        self.words.update(zip(plain, [ids(parts[0]) if len(parts) == 1 else b"".join(map(ids, parts)) for parts in cut]))
+        others = list(words.difference(plain))
+        self.words.update(zip(others, self.whole([" " + w for w in others])))
+
     def spaced(self, words: list[str]) -> bytes:
-        """Ids of the words with a space before each."""
-        new = list(set(words).difference(self.words))
+        """Ids of the words with a space before each. Words not met for ``MEMO`` new ones are forgotten."""
+        new = set(words).difference(self.words)
         if new:
-            if len(self.words) + len(new) > MEMO:
-                self.words.clear()
-                new = list(set(words))
-            self.words.update(zip(new, self.whole([" " + w for w in new])))
+            if len(self.words) > MEMO:
+                self.older, self.words = self.words, {}
+                new = set(words)
+            known = set(filter(self.older.__contains__, new))
+            self.words.update(zip(known, map(self.older.__getitem__, known)))
+            self.learn_words(new - known)
         made = b"".join(map(self.words.__getitem__, words))
         for word in new:
             if len(word) > MEMO_CHARS:
@@ -93,20 +132,22 @@ class WordEncoder:
         return made
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or any(a in text for a in self.added):
+        if not self.by_piece or any(a in text for a in self.added):
             return self.whole([text])[0]
         made, start = [], 0
-        while True:  # a stretch of a long text at a time
+        while start < len(text):  # a stretch of a long text at a time
             cut = self._cut.search(text, start + STRETCH) if len(text) > start + STRETCH else None
-            stretch = text[start:cut.start()] if cut else text[start:]
+            stretch, start = (text[start:cut.start()], cut.start()) if cut else (text[start:], len(text))
             words = self._cut.split(stretch) if self._space_after_space(stretch) else stretch.split(" ")
-            if not start:
-                made += self.whole(words[:1])
-                words = words[1:]
-            made.append(self.spaced(words))
-            if not cut:
-                return b"".join(made)
-            start = cut.end()
+            made += self.whole(words[:1])
+            made.append(self.spaced(words[1:]))
+        return b"".join(made)
+
+
+@lru_cache(maxsize=2)
+def encoder_of(settings: str) -> TextEncoder:
+    """A worker keeps its encoder, and the words it knows, from task to task."""
+    return TextEncoder(settings)
 
 
 def encode_texts(docs: DataFrame, path: str, end: int = END) -> DataFrame:
@@ -119,7 +160,7 @@ def encode_texts(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())  # as large as the tokeniser file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(shared.value)
+        encoder = encoder_of(shared.value)
         last = np.array([end], encoder.width).tobytes()
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):
@@ -371,5 +412,5 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None, end
     ensure_checkpoint_folder(docs.sparkSession)
     encoded = stored(encode_texts(docs, path, end), "token-ids")
     with open(path, encoding="utf-8") as file:
-        width = WordEncoder(file.read()).width.itemsize
+        width = TextEncoder(file.read()).width.itemsize
     return write_files(encoded, folder or work_folder(docs.sparkSession, "token-files"), width, **settings)

@@ -13,8 +13,7 @@ import corpus_pipeline
 from airloom.llm.components import components, local_roots
 from airloom.llm.embedding import near_vectors
 from airloom.llm.exact_dedup import build_index, directory, drop_copies, exact_dedup
-from airloom.llm.near_copies import near_copies
-from airloom.llm.near_copies import drop_near_copies as drop_alike
+from airloom.llm.mixing import repeat_to_targets
 from airloom.llm.simhash import drop_near_copies, fingerprint, simhash_groups
 
 
@@ -126,60 +125,36 @@ def test_simhash_of_odd_rows(odd_docs, no_docs):
     assert simhash_groups(no_docs).count() == 0
     kept = drop_near_copies(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [0, 2, 5, 6, 7, 9]
-    assert kept.where("doc_id is null").count() == 2 and drop_near_copies(no_docs).count() == 0
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 5, 6, 7, 9]
+    assert drop_near_copies(no_docs).count() == 0
 
 
-def five_word_runs(text):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
-
-
-def against_all_pairs(docs):
-    """Component of every doc_id by the Jaccard similarity of all pairs, and how many pairs reach 0.8."""
-    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
-    runs, held = [five_word_runs(t) for _, t in rows], defaultdict(list)
-    for i, own in enumerate(runs):
-        for run in own:
-            held[run].append(i)
-    both = defaultdict(int)
-    for members in held.values():
-        for x, i in enumerate(members):
-            for j in members[x + 1:]:
-                both[i, j] += 1
-    pairs = [(i, j) for (i, j), n in both.items() if 5 * n >= 4 * (len(runs[i]) + len(runs[j]) - n)]
-    return {rows[i][0]: rows[r][0] for i, r in enumerate(grouped(len(rows), pairs))}, len(pairs)
-
-
-def test_the_pipeline_stage_links_every_pair_of_similarity_0_8(spark):
-    draw, texts = np.random.default_rng(5), []
-    line = " ".join(f"common{i}" for i in range(30))
-    for i in range(60):
-        words = [f"w{k}" for k in draw.integers(0, 400, int(draw.integers(5, 150)))]
-        texts.append(" ".join(words) + (f" {line}" if i % 3 == 0 else ""))
-        for _ in range(i % 6):  # around the threshold on both sides
-            words[int(draw.integers(len(words)))] = "other"
-            texts.append(" ".join(words).upper())
-    docs = spark.createDataFrame([(2_000 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    root, n = against_all_pairs(docs)
-    found = {r["node"]: r["root"] for r in near_copies(docs).collect()}
-    assert n > 20 and {i: found.get(i, i) for i in root} == root
-    assert sorted(r["doc_id"] for r in drop_alike(docs).collect()) == sorted(set(root.values()))
-    prints = {r["doc_id"]: r["component_id"] for r in simhash_groups(docs, shingle=5).collect()}
-    assert len(set(prints.values())) > len(set(root.values()))  # what radius 2 of the fingerprints leaves
-
-
-def test_near_copies_of_odd_rows(odd_docs, no_docs):
-    kept = drop_alike(odd_docs)
-    assert kept.columns == odd_docs.columns
-    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [0, 2, 5, 6, 7, 9]
-    assert kept.where("doc_id is null").count() == 2 and drop_alike(no_docs).count() == 0
-
-
-def test_near_copies_on_the_given_documents(spark, folder):
+def test_one_of_each_component_stays_on_the_given_documents(spark, folder):
     docs = drop_copies(spark.read.parquet(f"{folder}/documents.parquet"))
-    root, _ = against_all_pairs(docs)
-    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_near(spark, docs, folder).collect()) == sorted(set(root.values()))
+    kept = corpus_pipeline.one_of_near(spark, docs, folder)
+    assert kept.columns == docs.columns
+    groups = {r["component_id"] for r in simhash_groups(docs).collect()}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(groups)
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rows = [(1, "alpha beta gamma delta", 1), (1, "something else altogether here now", 2), (2, "alpha beta gamma delta", 3),
+            (2, "something else altogether here now", 4), (None, "a third text of some words", 5), (1, "alpha beta gamma delta", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sha int")
+    kept = drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [
+        ("1", "alpha beta gamma delta"), ("1", "something else altogether here now"), ("None", "a third text of some words")]
+
+
+@pytest.mark.parametrize("names", [["_id", "_sha", "_sha_"], ["sha", "sha_", "SHA__"], ["_copies", "_copy", "copies"], ["copy", "fp", "root"]])
+def test_columns_of_any_name_come_through(spark, names):
+    rows = [(i, f"some words number {i // 2}", "en" if i % 2 else "fr", i, 99, None) for i in range(12)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, `{names[0]}` int, `{names[1]}` int, `{names[2]}` string")
+    domains = docs.select("doc_id", F.col("lang").alias("domain"))
+    for made, n in ((drop_copies(docs), 6), (drop_near_copies(docs), None), (repeat_to_targets(docs, domains, {"en": 0.5, "fr": 0.5}), None)):
+        assert made.columns == docs.columns and (n is None or made.count() == n)
+        assert all(r[names[1]] == 99 and r[names[0]] == r["doc_id"] and r[names[2]] is None for r in made.collect())
 
 
 def test_components_of_a_chain_and_a_star(spark):

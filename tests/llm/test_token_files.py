@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from airloom.llm.queries import QUERIES, TOKENISER
-from airloom.llm.token_files import (BLOCK_RECORD, TRAILER, FileReader, FileWriter, WordEncoder, encode_texts, from_planes,
+from airloom.llm.token_files import (BLOCK_RECORD, TRAILER, FileReader, FileWriter, TextEncoder, encode_texts, from_planes,
                                      read_files, to_planes, write_files, write_token_files)
 
 PATH = public_tokenizers.path(TOKENISER)
 LIBRARY = Tokenizer.from_file(PATH)
-ENCODER = WordEncoder(open(PATH, encoding="utf-8").read())
+ENCODER = TextEncoder(open(PATH, encoding="utf-8").read())
 
 
 def ids_of(text):
@@ -33,7 +33,7 @@ def own(text):
     "", " ", "   ", "a  b", "a   b", "\n a", "a \n b", "a\n \nb", "x\t y", "x  y   z", "it's  I'll 're", "a <|endoftext|> b",
     "<|endoftext|>", " lead", "trail ", "tab\t", "᠎ a᠎ b", "1 22 333 a1 .. !!", "東京 は 　 x", "é ́ ‍ ퟿",
     "one\x1c two\x85 three", "word " * 500_000, "x" * 300_000 + " y"])
-def test_words_give_the_ids_of_the_whole_text(text):
+def test_parts_give_the_ids_of_the_whole_text(text):
     assert own(text) == ids_of(text)
 
 
@@ -45,8 +45,8 @@ def test_any_white_space(text):
 
 def test_other_kinds_of_tokenisers_see_whole_texts():
     other = public_tokenizers.path("word_bpe_49k.json")
-    encoder = WordEncoder(open(other, encoding="utf-8").read())
-    assert not encoder.by_word
+    encoder = TextEncoder(open(other, encoding="utf-8").read())
+    assert not encoder.by_piece
     for text in ("Some  words ", "", "x y"):
         found = np.frombuffer(encoder.encode(text), encoder.width).tolist()
         assert found == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
