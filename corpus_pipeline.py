@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airloom.llm import bpe, exact_dedup, mixing, near_copies, quality
+from airloom.llm import bpe, exact_dedup, mixing, quality, simhash
 from airloom.llm.common import stored
 from airloom.llm.queries import RANKS, TARGETS, labelled_domains, table
 
@@ -22,8 +22,8 @@ def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of five-word shingles of 0.8 or more, the one with the smallest doc_id."""
-    return near_copies.drop_near_copies(docs, shingle=5)
+    """Of documents linked by fingerprints of three-word shingles that differ in two bits or fewer, the one of smallest doc_id."""
+    return simhash.drop_near_copies(docs)
 
 
 def to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +34,11 @@ def to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids per document, checked by decoding them again."""
     path = public_tokenizers.path(RANKS)
-    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    coded = bpe.round_trip(docs, path, public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("quality classifier", accept_quality), ("exact dedup", one_of_equal), ("shingle near-dedup", one_of_near),
+STAGES = [("quality classifier", accept_quality), ("exact dedup", one_of_equal), ("SimHash near-dedup", one_of_near),
           ("mixing to target weights", to_targets), ("byte-level BPE", token_ids)]
 ORACLE_SQL = None  # the classifier and the rates are fitted, which SQL cannot express
 
