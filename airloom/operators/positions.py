@@ -46,3 +46,27 @@ def numbered(df: DataFrame, group: list[str], order: list[Column | str], name: s
     joined = rows.join(counts, matches(rows, counts, [SLICE, *group]))
     return joined.select(*[rows[c] for c in df.columns], (rows[ROW] + counts[BEFORE]).alias(name),
                          *([counts[total]] if total else []))
+
+
+def ranked(df: DataFrame, group: list[str], value: str, name: str = "rank") -> DataFrame:
+    """``df`` with ``name``: its rank in the group by ``value`` from the lowest up, null last; equal values share a rank.
+
+    A group of any size is numbered in slices. The first place of each value is its rank; it comes from one small sum per
+    slice and value, so not even one value that all rows share is gathered in a task.
+    """
+    placed = numbered(df, group, [F.col(value).asc_nulls_last()], name=name)
+    own = {f"_positions_key{i}": c for i, c in enumerate([*group, value])}
+    first = placed.groupBy(*[F.col(c).alias(k) for k, c in own.items()]).agg((F.min(name) + 1).alias(FIRST))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for k, c in own.items()])
+    return placed.drop(name).join(first, same).withColumnRenamed(FIRST, name).select(*df.columns, name)
+
+
+def deep_page(df: DataFrame, order: list[str], skip: int, limit: int) -> DataFrame:
+    """Rows ``skip`` to ``skip + limit`` of ``df`` by ``order``, however deep the page lies.
+
+    The rows are sorted in slices and counted; the page is cut out by its places, which one or two slices hold, so no task
+    ever holds what lies before it. To walk through pages one after the other, ``page`` with ``after`` is cheaper.
+    """
+    place = "_positions_place"
+    found = numbered(df, [], order, name=place).where((F.col(place) >= skip) & (F.col(place) < skip + limit))
+    return found.orderBy(place).drop(place)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from airloom.functions.quality import normalise_weather, quality_flag, canonical_unit
 from airloom.functions.times import instant
 from airloom.operators.filters import changed
-from airloom.schemas import ARRIVAL_PLACE, MISSING, READING_KEY
+from airloom.schemas import ARRIVAL_PLACE, MISSING, READING_KEY, VALID
 
 _CARRIED = ["value", "unit", "raw_value", "raw_unit", "quality_flag", "source"]
 
@@ -33,17 +33,18 @@ def latest_per_key(batch: DataFrame, keys: list[str] = READING_KEY, order: str =
     return batch.withColumn("_arrival", F.row_number().over(newest_first)).where("_arrival = 1").drop("_arrival")
 
 
-def merge_readings(target: DataFrame, batch: DataFrame, as_of: datetime) -> DataFrame:
+def merge_readings(target: DataFrame, batch: DataFrame, as_of: datetime, *, kept: bool = True) -> DataFrame:
     """Target rows and batch rows merged on the key, with an ``action`` per row.
 
     inserted: new key. updated: value or flag differs, NULL included, and everything measured is replaced.
     unchanged: same value and flag, so the stored row stays as it is even if unit or source differ.
-    kept: not in the batch. ``created_at`` survives; ``updated_at`` moves only with a change.
+    kept: not in the batch; without ``kept`` these are left out. ``created_at`` survives; ``updated_at`` moves only
+    with a change. ``valid_change`` tells by how much the number of valid readings moves.
     """
     incoming = latest_per_key(batch).select(
         *READING_KEY, *[F.col(name).alias(f"new_{name}") for name in _CARRIED], F.lit(True).alias("arrived"))
     stored = target.withColumn("stored", F.lit(True))
-    joined = stored.join(incoming, READING_KEY, "full_outer")
+    joined = stored.join(incoming, READING_KEY, "full_outer" if kept else "right")
 
     action = (
         F.when(F.col("stored").isNull(), "inserted")
@@ -54,6 +55,10 @@ def merge_readings(target: DataFrame, batch: DataFrame, as_of: datetime) -> Data
     )
     taken = F.col("action").isin("inserted", "updated")
     now = instant(as_of)
+
+    def valid(flag: str) -> Column:
+        return F.coalesce((F.col(flag) == VALID).cast("int"), F.lit(0))
+
     return joined.withColumn("action", action).select(
         F.coalesce("id", reading_id(F.col("city_id"), F.col("parameter"), F.col("timestamp"))).alias("id"),
         "city_id", "parameter",
@@ -62,7 +67,7 @@ def merge_readings(target: DataFrame, batch: DataFrame, as_of: datetime) -> Data
         F.coalesce("created_at", now).alias("created_at"),
         F.when(taken, now).otherwise(F.col("updated_at")).alias("updated_at"),
         F.to_date("timestamp").alias("reading_date"),
-        "action",
+        "action", F.when(taken, valid("new_quality_flag") - valid("quality_flag")).otherwise(0).alias("valid_change"),
     )
 
 

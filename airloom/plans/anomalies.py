@@ -13,7 +13,7 @@ from airloom.functions.numeric import round_half_up, z_score
 from airloom.functions.quality import canonical_unit
 from airloom.functions.times import days_before, instant, to_utc
 from airloom.operators.filters import city_names, usable_readings
-from airloom.operators.rolling import SPLIT_ROWS, rolling_baseline, series_sizes
+from airloom.operators.rolling import BLOCK_FRAMES, framed, placed_rows
 from airloom.plans.trend import check_days
 from airloom.schemas import SERIES_KEY
 
@@ -48,26 +48,22 @@ def with_scores(scored: DataFrame, places: int = 4) -> DataFrame:
 
 
 def _parts(readings: DataFrame, now: datetime, days: int, city_ids, parameters, include_suspect: bool,
-           until: datetime | None, split_rows: int | None) -> tuple[DataFrame, DataFrame]:
+           until: datetime | None, block_frames: int = BLOCK_FRAMES) -> tuple[DataFrame, DataFrame]:
     analysis = days_before(now, days)
     base = usable_readings(readings, since=days_before(analysis, WARM_UP_DAYS), until=until, city_ids=city_ids,
                            parameters=parameters, include_suspect=include_suspect)
     base = base.select(*SERIES_KEY, "timestamp", "value").where(
         F.col("city_id").isNotNull() & F.col("parameter").isNotNull())
     in_range = F.col("timestamp") >= instant(analysis)
-    # The sizes serve the skew check and the totals. The condition holds for every series; it keeps all four
-    # aggregates alive in both uses, so that column pruning leaves them equal and one exchange serves both.
-    # Refusing absent keys up front does the same for the filter a join would add to one of them.
-    sizes = series_sizes(base, F.count(F.when(in_range, 1)).alias("total_readings_analysed")).where(
-        (F.col("series_rows") > 0) & (F.col("first_at") <= F.col("last_at")) & (F.col("total_readings_analysed") >= 0))
-    scored = rolling_baseline(base, sizes=sizes, split_rows=split_rows).where(in_range)
-    return sizes.select(*SERIES_KEY, "total_readings_analysed"), scored
+    placed = placed_rows(base)
+    totals = placed.groupBy(*SERIES_KEY).agg(F.count(F.when(in_range, 1)).alias("total_readings_analysed"))
+    return totals, framed(placed, block_frames=block_frames).where(in_range)
 
 
 def anomalies(readings: DataFrame, cities: DataFrame, *, as_of: datetime | str | None = None, days: int = 30,
               sensitivity: float = 2.0, city_ids: Sequence[str] | None = None,
               parameters: Sequence[str] | None = None, include_suspect: bool = False,
-              until: datetime | None = None, split_rows: int | None = SPLIT_ROWS, sort: bool = False) -> DataFrame:
+              until: datetime | None = None, block_frames: int = BLOCK_FRAMES, sort: bool = False) -> DataFrame:
     """Readings of active cities that lie ``sensitivity`` deviations or more off their rolling baseline.
 
     The baseline reaches seven days further back than the reported range. That bound is stated here
@@ -76,7 +72,7 @@ def anomalies(readings: DataFrame, cities: DataFrame, *, as_of: datetime | str |
     """
     check_days(days, lowest=7)
     check_sensitivity(sensitivity)
-    totals, scored = _parts(readings, to_utc(as_of), days, city_ids, parameters, include_suspect, until, split_rows)
+    totals, scored = _parts(readings, to_utc(as_of), days, city_ids, parameters, include_suspect, until, block_frames)
     found = with_scores(scored.where(deviates(sensitivity)))
     result = found.join(totals, SERIES_KEY).join(city_names(cities), "city_id").select(
         "city_id", "city_name", "parameter", canonical_unit(F.col("parameter")).alias("unit"),
@@ -91,11 +87,11 @@ def anomalies(readings: DataFrame, cities: DataFrame, *, as_of: datetime | str |
 def anomaly_totals(readings: DataFrame, cities: DataFrame, *, as_of: datetime | str | None = None, days: int = 30,
                    sensitivity: float = 2.0, city_ids: Sequence[str] | None = None,
                    parameters: Sequence[str] | None = None, include_suspect: bool = False,
-                   until: datetime | None = None, split_rows: int | None = SPLIT_ROWS) -> DataFrame:
+                   until: datetime | None = None, block_frames: int = BLOCK_FRAMES) -> DataFrame:
     """Per series of an active city: readings analysed and anomalies found, also where none were."""
     check_days(days, lowest=7)
     check_sensitivity(sensitivity)
-    totals, scored = _parts(readings, to_utc(as_of), days, city_ids, parameters, include_suspect, until, split_rows)
+    totals, scored = _parts(readings, to_utc(as_of), days, city_ids, parameters, include_suspect, until, block_frames)
     found = scored.where(deviates(sensitivity)).groupBy(*SERIES_KEY).agg(F.count(F.lit(1)).alias("anomalies"))
     return totals.join(found, SERIES_KEY, "left").join(city_names(cities), "city_id").select(
         "city_id", "city_name", "parameter", canonical_unit(F.col("parameter")).alias("unit"),

@@ -13,6 +13,7 @@ from airloom.functions.numeric import percent_change, round_half_up
 from airloom.functions.quality import canonical_unit
 from airloom.functions.times import days_before, instant, to_utc
 from airloom.operators.filters import city_names, usable_readings
+from airloom.operators.positions import ranked
 from airloom.plans.trend import check_days
 from airloom.schemas import SERIES_KEY
 
@@ -47,7 +48,7 @@ def compare(readings: DataFrame, cities: DataFrame, *, as_of: datetime | str | N
     """Cities side by side per parameter: rank by rounded average, change against the period before.
 
     Inactive cities take part. ``city_set`` (a frame with city_id) serves selections too long for
-    ``city_ids``. The rank window runs over one row per city and parameter.
+    ``city_ids``. Ranks are counted in slices, so a parameter may have any number of cities.
     """
     check_days(days)
     if city_ids is not None and len(set(city_ids)) < 2:
@@ -58,11 +59,11 @@ def compare(readings: DataFrame, cities: DataFrame, *, as_of: datetime | str | N
     if city_set is not None:
         base = base.join(city_set.select("city_id"), "city_id", "left_semi")
     statistics = two_period_statistics(base, days_before(now, days), 4).where(F.col("reading_count") > 0)
-    by_average = W.partitionBy("parameter").orderBy(F.col("avg").asc_nulls_last())
-    result = statistics.join(city_names(cities, active_only=False), "city_id").select(
+    named = statistics.join(city_names(cities, active_only=False), "city_id")
+    result = ranked(named, ["parameter"], "avg").select(
         "parameter", canonical_unit(F.col("parameter")).alias("unit"), F.lit(days).alias("days"), "city_id",
         "city_name", "avg", "min", "max", "reading_count",
-        F.rank().over(by_average).cast("long").alias("rank"),
+        "rank",
         percent_change(F.col("avg"), F.col("prev_avg")).alias("pct_change_vs_prev_period"),
     )
     return result.orderBy("parameter", "rank", "city_id") if sort else result
@@ -75,7 +76,7 @@ def ranking(readings: DataFrame, cities: DataFrame, *, as_of: datetime | str | N
     """Active cities per parameter from the lowest average up, ranked on the unrounded average.
 
     Cities with fewer than ``min_readings`` readings do not take part. With a ``limit``, each task keeps
-    its own best before the shuffle; ``None`` ranks every city.
+    its own best before the shuffle; ``None`` ranks every city, in slices.
     """
     check_days(days)
     if limit is not None and not 1 <= limit <= 100:
@@ -91,14 +92,17 @@ def ranking(readings: DataFrame, cities: DataFrame, *, as_of: datetime | str | N
     if country is not None:
         names = names.where(F.col("country_code") == F.upper(F.lit(country)))
     placed = averages.join(names, "city_id")
-    by_mean = W.partitionBy("parameter").orderBy(F.col("mean").asc_nulls_last())
-    if limit is not None:
+    if limit is None:
+        placed = ranked(placed, ["parameter"], "mean")
+    else:
         listed = W.partitionBy("parameter").orderBy(F.col("mean").asc_nulls_last(), "city_id")
         placed = placed.withColumn("listed", F.row_number().over(listed)).where(F.col("listed") <= limit)
+        by_mean = W.partitionBy("parameter").orderBy(F.col("mean").asc_nulls_last())  # ``limit`` rows at most
+        placed = placed.withColumn("rank", F.rank().over(by_mean).cast("long"))
     result = placed.select(
         "parameter", canonical_unit(F.col("parameter")).alias("unit"),
         F.lit(country.upper() if country else None).cast("string").alias("country"), F.lit(days).alias("days"),
         "city_id", "city_name", round_half_up(F.col("mean"), 4).alias("avg_value"),
-        F.rank().over(by_mean).cast("long").alias("rank"), "data_freshness", "reading_count",
+        "rank", "data_freshness", "reading_count",
     )
     return result.orderBy("parameter", "rank", "city_id") if sort else result

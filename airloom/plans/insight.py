@@ -12,7 +12,7 @@ from airloom.functions.labels import movement
 from airloom.functions.numeric import percent_change, round_exact, share_percent
 from airloom.functions.times import days_before, instant, period_label, to_utc
 from airloom.operators.filters import active, between_instants, city_names, usable_readings
-from airloom.operators.rolling import SPLIT_ROWS, rolling_baseline
+from airloom.operators.rolling import rolling_baseline
 from airloom.operators.surroundings import surroundings, wide_entries
 from airloom.plans.anomalies import deviates, with_scores
 from airloom.plans.compare import two_period_statistics
@@ -45,12 +45,11 @@ def context_statistics(readings: DataFrame, as_of: datetime | str | None = None)
     return _statistics(rows).select(*SERIES_KEY, *_STATISTICS)
 
 
-def context_anomalies(readings: DataFrame, as_of: datetime | str | None = None, *,
-                      split_rows: int | None = SPLIT_ROWS) -> DataFrame:
+def context_anomalies(readings: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
     """The five most extreme anomalies of every city over all its parameters."""
     analysis = days_before(to_utc(as_of), PERIOD_DAYS)
     base = usable_readings(readings, since=days_before(analysis, 7)).select(*SERIES_KEY, "timestamp", "value")
-    scored = rolling_baseline(base, split_rows=split_rows)
+    scored = rolling_baseline(base)
     found = with_scores(scored.where((F.col("timestamp") >= instant(analysis)) & deviates(SENSITIVITY)), places=2)
     most_extreme = W.partitionBy("city_id").orderBy(F.col("size").desc(), "timestamp", "parameter")
     return (
@@ -104,8 +103,7 @@ def data_quality(readings: DataFrame, as_of: datetime | str | None = None) -> Da
                           "suspect", "missing")
 
 
-def insight_context(readings: DataFrame, cities: DataFrame, as_of: datetime | str | None = None, *,
-                    split_rows: int | None = SPLIT_ROWS) -> DataFrame:
+def insight_context(readings: DataFrame, cities: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
     """One row per active city with everything a briefing is written from, and its content hash.
 
     The lists are short by construction: one entry per parameter, five anomalies with seven timestamps
@@ -130,7 +128,7 @@ def insight_context(readings: DataFrame, cities: DataFrame, as_of: datetime | st
                                F.struct("total_readings", valid_pct, "suspect", "missing").alias("data_quality"))
     # Anomalies of inactive cities would not be reported.
     ours = active(cities).select(F.col("id").alias("city_id"))
-    top = context_anomalies(readings, now, split_rows=split_rows).join(ours, "city_id", "left_semi")
+    top = context_anomalies(readings, now).join(ours, "city_id", "left_semi")
     anomalies = anomalies_with_windows(readings, top, now)
     correlations = context_correlations(readings, now).groupBy("city_id").agg(
         F.sort_array(F.collect_list(F.struct("param1", "param2", "pearson_r", "sample_size"))).alias("correlations"))
@@ -202,8 +200,7 @@ def cache_decisions(contexts: DataFrame, cache: DataFrame, as_of: datetime | str
 
 
 def refresh_plan(readings: DataFrame, cities: DataFrame, cache: DataFrame, as_of: datetime | str | None = None, *,
-                 ttl_seconds: int = CACHE_TTL_SECONDS, force: bool = False,
-                 split_rows: int | None = SPLIT_ROWS) -> DataFrame:
+                 ttl_seconds: int = CACHE_TTL_SECONDS, force: bool = False) -> DataFrame:
     """Cache decisions for all active cities; contexts are computed only where no unexpired insight exists."""
     now = to_utc(as_of)
     pending = active(cities)
@@ -213,7 +210,7 @@ def refresh_plan(readings: DataFrame, cities: DataFrame, cache: DataFrame, as_of
         served = fresh.join(active(cities).select(F.col("id").alias("city_id")), "city_id", "left_semi")
         pending = pending.join(served.select(F.col("city_id").alias("id")), "id", "left_anti")
     wanted = readings.join(pending.select(F.col("id").alias("city_id")), "city_id", "left_semi")
-    decided = cache_decisions(insight_context(wanted, pending, now, split_rows=split_rows), cache, now,
+    decided = cache_decisions(insight_context(wanted, pending, now), cache, now,
                               ttl_seconds=ttl_seconds, force=force)
     if served is None:
         return decided

@@ -14,7 +14,6 @@ from airloom.functions.numeric import percent_change, round_exact, round_half_up
 from airloom.functions.quality import canonical_unit
 from airloom.functions.times import days_before, to_utc
 from airloom.operators.filters import city_names, usable_readings
-from airloom.operators.rolling import SPLIT_ROWS
 from airloom.operators.sites import resolve_names
 from airloom.plans.anomalies import _parts, deviates, with_scores
 from airloom.plans.compare import compare
@@ -63,13 +62,12 @@ def compare_summary(readings: DataFrame, cities: DataFrame, requests: DataFrame
 
 
 def anomaly_summary(readings: DataFrame, cities: DataFrame, *, as_of: datetime | str | None = None,
-                    sensitivity: float = 2.0, parameters: Sequence[str] = ANOMALY_PARAMETERS,
-                    split_rows: int | None = SPLIT_ROWS) -> DataFrame:
+                    sensitivity: float = 2.0, parameters: Sequence[str] = ANOMALY_PARAMETERS) -> DataFrame:
     """Thirty days of pollutant anomalies per active city: counts by severity and the ten most extreme.
 
     A city without anomalies is reported with zeros and an empty list.
     """
-    _, scored = _parts(readings, to_utc(as_of), 30, None, list(parameters), False, None, split_rows)
+    _, scored = _parts(readings, to_utc(as_of), 30, None, list(parameters), False, None)
     found = with_scores(scored.where(deviates(sensitivity)))
     listed = F.array_position(F.array(*[F.lit(p) for p in parameters]), F.col("parameter"))
     extreme_first = [F.abs("z_score").desc(), listed, F.col("size").desc(), "timestamp"]

@@ -1,17 +1,26 @@
-"""Parquet tables: readings by parameter and day, insights by day, the city dimension."""
+"""Parquet tables: readings in layers by parameter and day, insights by day, the city dimension."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airloom.operators.filters import active
-from airloom.operators.upsert import latest_per_key, merge_readings
-from airloom.schemas import CITIES, INSIGHT_CACHE, READING_PARTITIONS, READINGS
+from airloom.functions.times import instant
+from airloom.operators.filters import active, changed_since
+from airloom.operators.upsert import merge_readings
+from airloom.schemas import CITIES, INSIGHT_CACHE, READING_KEY, READING_PARTITIONS, READINGS, VALID
+from airloom.sources.layers import MOST_LAYERS, REPLACED, Layout, append_layer, commits, compact, read_layers, read_log
+
+# The log tells per city what arrived, so freshness and changed days need no look at the readings.
+READINGS_LAYOUT = Layout(
+    READINGS, keys=tuple(READING_KEY), partitions=tuple(READING_PARTITIONS), sort=("city_id", "timestamp"), group=("city_id",),
+    figures={"valid": "sum(valid_change)", "last_created_at": "max(created_at)", "last_updated_at": "max(updated_at)",
+             "last_timestamp": "max(timestamp)"})
+
 
 def create_tables(spark: SparkSession, base: str, database: str = "default") -> None:
     """Declare the three tables below ``base``; running it again changes nothing."""
@@ -34,10 +43,48 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         return spark.createDataFrame([], schema)
 
 
-def read_readings(spark: SparkSession, path: str) -> DataFrame:
+def _flat_readings(spark: SparkSession, path: str) -> DataFrame:
+    """Readings in plain partition folders, as other tools write them."""
     return read_table(spark, path, READINGS)
 
 
+def read_readings(spark: SparkSession, path: str) -> DataFrame:
+    """The readings table; plain partition folders are read as they are until the first upsert takes them in."""
+    return read_layers(spark, path, READINGS_LAYOUT) if commits(spark, path) else _flat_readings(spark, path)
+
+
+def store_readings(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Add whole readings, dates and ids included, whose keys the table does not hold yet."""
+    append_layer(spark, path, READINGS_LAYOUT, rows.withColumns({
+        REPLACED: F.lit(False), "valid_change": (F.col("quality_flag") == VALID).cast("int")}))
+
+
+def compact_readings(spark: SparkSession, path: str, most_layers: int = MOST_LAYERS) -> int:
+    """Rewrite the partitions that many commits have touched; returns how many there were."""
+    return compact(spark, path, READINGS_LAYOUT, most_layers, {"valid_change": (F.col("quality_flag") == VALID).cast("int")})
+
+
+def reading_log(spark: SparkSession, path: str) -> DataFrame:
+    """What the commits did, a row per commit, partition and city: the table answers from it what needs no reading.
+
+    ``rows`` written and ``replaced`` of them, ``valid`` (by how much the number of valid readings moved), and the last
+    ``created_at``, ``updated_at`` and ``timestamp`` among them.
+    """
+    log = read_log(spark, path)
+    names = {"p_parameter": "parameter", "p_reading_date": "reading_date", "g_city_id": "city_id"}
+    if log is not None:
+        return log.withColumnsRenamed(names)
+    return spark.createDataFrame([], "parameter string, reading_date date, city_id string, version string, kind string, "
+                                     "rows long, replaced long, valid long, last_created_at timestamp, "
+                                     "last_updated_at timestamp, last_timestamp timestamp")
+
+
+def changed_readings(spark: SparkSession, path: str, moment: datetime) -> DataFrame:
+    """Readings inserted or corrected after ``moment``, from the partitions that the log says hold any."""
+    log = reading_log(spark, path).where(F.col("last_updated_at") > instant(moment)).select(*READING_PARTITIONS)
+    return changed_since(read_layers(spark, path, READINGS_LAYOUT, touched=log), moment)
+
+
 def replace_partitions(df: DataFrame, path: str, partitions: list[str], sort: list[str]) -> None:
     """Overwrite exactly the partitions that occur in ``df``.
 
@@ -64,36 +111,28 @@ def touched_partitions(table: DataFrame, batch: DataFrame, partitions: list[str]
 
 
 def upsert_readings(spark: SparkSession, batch: DataFrame, path: str, as_of: datetime) -> dict[str, int]:
-    """Merge a flagged batch into the readings table and rewrite only the partitions it touches.
+    """Merge a flagged batch into the readings table: inserted and changed rows become one more layer of their days.
 
-    Replaying a batch changes nothing. One writer at a time. ``batch`` is evaluated twice, so a caller with
-    a costly or streaming source should hand over a persisted frame. Returns the number of inserted and
-    updated readings, counted while writing.
+    The batch is compared with the partitions it falls into and with nothing else; rows already stored are never
+    written again. All of it counts at once, when the log entry is written; a writer that dies before leaves the table
+    as it was. Replaying a batch changes nothing and commits nothing. One writer at a time. Returns the number
+    of inserted and updated readings.
     """
+    if not commits(spark, path):
+        flat = _flat_readings(spark, path)
+        if not flat.isEmpty():
+            store_readings(spark, flat, path)
     dated = batch.withColumn("reading_date", F.to_date("timestamp"))
-    stored = touched_partitions(read_readings(spark, path), dated, READING_PARTITIONS)
-    observation = Observation()
-    merged = merge_readings(stored, dated.drop("reading_date"), as_of).observe(
-        observation,
-        F.count_if(F.col("action") == "inserted").alias("inserted"),
-        F.count_if(F.col("action") == "updated").alias("updated"),
-    )
-    columns = READINGS.fieldNames()
-    replace_partitions(merged.select(*columns), path, READING_PARTITIONS, ["city_id", "timestamp"])
-    return dict(observation.get)
-
-
-def upsert_rows(spark: SparkSession, batch: DataFrame, path: str, *, keys: list[str], partitions: list[str],
-                sort: list[str], order: str) -> None:
-    """Last-write-wins upsert of whole rows into a derived table.
-
-    ``order`` numbers the arrivals from 0 up and is not stored. Like :func:`upsert_readings`, this evaluates
-    ``batch`` twice.
-    """
-    table = read_table(spark, path, batch.drop(order).schema)
-    stored = touched_partitions(table, batch, partitions).withColumn(order, F.lit(-1).cast(batch.schema[order].dataType))
-    newest = latest_per_key(stored.unionByName(batch), keys, order).drop(order)
-    replace_partitions(newest, path, partitions, sort)
+    stored = read_layers(spark, path, READINGS_LAYOUT, touched=dated)
+    merged = merge_readings(stored, dated.drop("reading_date"), as_of, kept=False)
+    rows = merged.where(F.col("action").isin("inserted", "updated")).withColumn(REPLACED, F.col("action") == "updated").persist()
+    try:
+        counts = rows.agg(F.count_if(~F.col(REPLACED)).alias("inserted"), F.count_if(REPLACED).alias("updated")).first().asDict()
+        if any(counts.values()):
+            append_layer(spark, path, READINGS_LAYOUT, rows)
+    finally:
+        rows.unpersist()
+    return counts
 
 
 def write_cities(cities: DataFrame, path: str) -> None:

@@ -356,7 +356,7 @@ sensors AS (
   QUALIFY row_number() OVER (PARTITION BY city_id, parameter ORDER BY place) = 1)"""
 
 
-def stream_trend(interval: str) -> str:
+def closed_trend(interval: str) -> str:
     return q(buckets(interval, where="TRUE") + f"""
     SELECT * FROM b WHERE period + INTERVAL 1 {interval} <=
       (SELECT date_trunc('millisecond', max("timestamp")) - INTERVAL 25 HOUR FROM valid)""")
@@ -455,6 +455,15 @@ ORACLE: dict[str, str] = {
                'events' AS source, "timestamp" FROM valid
         WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'
         ORDER BY "timestamp", city_id, parameter LIMIT 100 OFFSET 50"""),
+    "readings_deep_page": q(f"""
+        SELECT city_id, parameter, value, {unit()} AS unit, value AS raw_value, {unit()} AS raw_unit, quality_flag,
+               'events' AS source, "timestamp" FROM valid
+        ORDER BY "timestamp", city_id, parameter LIMIT 200 OFFSET 600"""),
+    "readings_next_page": q(f"""
+        SELECT city_id, parameter, value, {unit()} AS unit, value AS raw_value, {unit()} AS raw_unit, quality_flag,
+               'events' AS source, "timestamp" FROM valid
+        WHERE ("timestamp", city_id, parameter) > (TIMESTAMP '2024-01-22 12:00:00', '12', 'no2')
+        ORDER BY "timestamp", city_id, parameter LIMIT 100"""),
     "readings_changed_since": q("""
         SELECT CAST(event_id AS VARCHAR) AS id, city_id, parameter, value, "timestamp" + INTERVAL 5 MINUTE AS updated_at
         FROM readings WHERE "timestamp" + INTERVAL 5 MINUTE > TIMESTAMP '2024-01-15 12:00:00'"""),
@@ -642,8 +651,13 @@ ORACLE: dict[str, str] = {
                    QUALIFY row_number() OVER (PARTITION BY city_id, parameter, "timestamp" ORDER BY ingest_seq DESC) = 1)
         SELECT parameter AS kind, f AS quality_flag, count(*) AS rows FROM newest GROUP BY 1, 2
         UNION ALL SELECT 'quarantine', 'unreadable', count(*) FROM docs WHERE wind_unit = 'm/s'""",
-    "stream_trend_hour": stream_trend("hour"),
-    "stream_trend_day": stream_trend("day"),
-    "stream_trend_week": stream_trend("week"),
+    "stream_trend_hour": q(buckets("hour", where="TRUE") + " SELECT * FROM b"),
+    "stream_trend_day": q(buckets("day", where="TRUE") + " SELECT * FROM b"),
+    "stream_trend_week": q(buckets("week", where="TRUE") + " SELECT * FROM b"),
+    "closed_trend_hour": closed_trend("hour"),
+    "closed_trend_day": closed_trend("day"),
+    "closed_trend_week": closed_trend("week"),
     "stream_baseline": SCORES,
 }
+ORACLE |= {"health_from_log": ORACLE["health"], "freshness_from_log": ORACLE["freshness"],
+           "changed_from_log": ORACLE["readings_changed_since"]}

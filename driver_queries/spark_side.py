@@ -29,19 +29,18 @@ from airloom.plans import insight as insight_plan
 from airloom.plans import lookup, summary
 from airloom.plans.documents import to_documents
 from airloom.plans.trend import trend
-from airloom.schemas import LOCATIONS_DOC, MEASUREMENTS_DOC, READING_KEY, VALID, WEATHER_DOC
+from airloom.schemas import LOCATIONS_DOC, MEASUREMENTS_DOC, READING_KEY, READINGS, VALID, WEATHER_DOC
 from airloom.session import apply_settings, ensure_checkpoint_folder, work_folder
 from airloom.sources import insights, landed, tables
-from airloom.streaming.baseline import current_scores, score_writer
+from airloom.streaming.baseline import current_scores, read_scores, score_writer
 from airloom.streaming.ingest import document_stream, upsert_stream
-from airloom.streaming.trend import stream_trend
+from airloom.streaming.trend import read_trend, stream_trend, trend_writer
 from airloom.operators.filters import usable_readings
 from driver_queries import tables as given
 from driver_queries.tables import AS_OF
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SPLIT_FOR_TESTS = 40
 
 
 def without_zone(df: DataFrame) -> DataFrame:
@@ -144,9 +143,9 @@ def anomalies(spark, d):
 
 @registered
 def anomalies_sliced(spark, d):
-    """The same with a threshold so low that every series takes the path of the very large ones."""
+    """The same with blocks so short that every series is cut."""
     return anomaly_plan.anomalies(given.readings(spark, d), given.cities(spark, d), as_of=AS_OF,
-                                  split_rows=SPLIT_FOR_TESTS, sort=True)
+                                  block_frames=1, sort=True)
 
 
 @registered
@@ -158,7 +157,7 @@ def anomaly_totals(spark, d):
 @registered
 def rolling_windows(spark, d):
     base = usable_readings(given.readings(spark, d)).select(*READING_KEY, "value")
-    scored = rolling_baseline(base, split_rows=SPLIT_FOR_TESTS, frame_rows=20)
+    scored = rolling_baseline(base, block_frames=2, frame_rows=20)
     return scored.select(*READING_KEY, round_half_up(F.col("rolling_avg"), 6).alias("rolling_avg"),
                          round_half_up(F.col("rolling_stddev"), 6).alias("rolling_stddev"), "window_size")
 
@@ -204,6 +203,35 @@ def health(spark, d):
     return lookup.health(given.readings(spark, d), as_of=AS_OF)
 
 
+def _stored(spark: SparkSession, d: str, purpose: str) -> str:
+    """A table of all readings, stored in two commits."""
+    path = work_folder(spark, purpose)
+    rows = given.readings(spark, d)
+    for early in (True, False):
+        part = rows.where((F.dayofmonth("timestamp") <= 15) == early)
+        tables.store_readings(spark, part.select(*READINGS.fieldNames()), path)
+    return path
+
+
+@registered
+def health_from_log(spark, d):
+    """Answered from the log of the table; the readings are not read."""
+    return lookup.health(tables.reading_log(spark, _stored(spark, d, "health")), as_of=AS_OF)
+
+
+@registered
+def freshness_from_log(spark, d):
+    log = tables.reading_log(spark, _stored(spark, d, "freshness"))
+    return lookup.freshness(log, given.cities(spark, d), as_of="2024-01-31T02:00:00Z")
+
+
+@registered
+def changed_from_log(spark, d):
+    """Changed rows from the days that the log names."""
+    rows = tables.changed_readings(spark, _stored(spark, d, "changed"), to_utc("2024-01-15T12:00:00Z"))
+    return rows.select("id", "city_id", "parameter", "value", "updated_at")
+
+
 @registered
 def freshness(spark, d):
     return lookup.freshness(given.readings(spark, d), given.cities(spark, d), as_of="2024-01-31T02:00:00Z")
@@ -221,6 +249,20 @@ def readings_page(spark, d):
     return lookup.readings_page(rows, skip=50, limit=100)
 
 
+@registered
+def readings_deep_page(spark, d):
+    """A page far from the start, cut out of sorted slices."""
+    rows = lookup.readings_range(given.readings(spark, d), start="2024-01-01", end="2024-02-01")
+    return lookup.readings_deep_page(rows, skip=600, limit=200)
+
+
+@registered
+def readings_next_page(spark, d):
+    """The page after a given reading."""
+    rows = lookup.readings_range(given.readings(spark, d), start="2024-01-01", end="2024-02-01")
+    return lookup.readings_page(rows, limit=100, after=(to_utc("2024-01-22T12:00:00Z"), "12", "no2"))
+
+
 @registered
 def readings_changed_since(spark, d):
     rows = changed_since(given.readings(spark, d), to_utc("2024-01-15T12:00:00Z"))
@@ -622,6 +664,23 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/event[s].parquet")
 
 
+def _landed_events(spark: SparkSession, d: str, base: str) -> DataFrame:
+    """All events as a stream of four files, read one by one.
+
+    Three hold the thirds of the month. A tenth of the readings comes late, in the fourth file, and so do corrections of
+    others, which first arrive with another value.
+    """
+    staged = given.as_staged(given.table(spark, d, "events"))
+    late, corrected = F.col("ingest_seq") % 10 == 3, F.col("ingest_seq") % 20 == 7
+    wrong = F.when(corrected, F.col("value") + 1000).otherwise(F.col("value"))
+    third = F.least(F.floor((F.dayofmonth("timestamp") - 1) / 10), F.lit(2))
+    for part in range(3):
+        rows = staged.where(~late & (third == part)).withColumn("value", wrong)
+        rows.coalesce(1).write.mode("append").parquet(f"{base}/landing")
+    staged.where(late | corrected).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+    return spark.readStream.schema(staged.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing")
+
+
 @registered
 def stream_upsert(spark, d):
     base = work_folder(spark, "stream-upsert")
@@ -652,8 +711,22 @@ def stream_documents(spark, d):
 
 
 def _stream_trend(interval: str) -> Query:
+    """Buckets kept equal to the batch trend over four files, with late readings and corrections."""
     def run(spark: SparkSession, d: str) -> DataFrame:
         base = work_folder(spark, "stream-trend")
+        upsert_stream(_landed_events(spark, d, base), f"{base}/readings", f"{base}/checkpoint", as_of=to_utc(AS_OF),
+                      after=trend_writer(f"{base}/readings", f"{base}/trend", interval)).trigger(
+            availableNow=True).start().awaitTermination()
+        return read_trend(spark, f"{base}/trend")
+
+    run.__name__ = f"stream_trend_{interval}"
+    return run
+
+
+def _closed_trend(interval: str) -> Query:
+    """Buckets emitted once, when they can no longer change."""
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        base = work_folder(spark, "closed-trend")
         arriving = flag_readings(given.as_staged(_event_stream(spark, d)))
         stream_trend(arriving, interval).writeStream.format("parquet").option("path", f"{base}/out").option(
             "checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(
@@ -662,22 +735,21 @@ def _stream_trend(interval: str) -> Query:
                  "reading_count long"
         return spark.read.schema(schema).parquet(f"{base}/out")
 
-    run.__name__ = f"stream_trend_{interval}"
+    run.__name__ = f"closed_trend_{interval}"
     return run
 
 
 for _interval in ("hour", "day", "week"):
     registered(_stream_trend(_interval))
+    registered(_closed_trend(_interval))
 
 
 @registered
 def stream_baseline(spark, d):
-    """Rolling scores kept next to the table by the ingest stream."""
+    """Rolling scores kept next to the table by the ingest stream, over four files with late readings and corrections."""
     base = work_folder(spark, "stream-baseline")
-    staged = given.as_staged(_event_stream(spark, d))
-    upsert_stream(staged, f"{base}/readings", f"{base}/checkpoint", as_of=to_utc(AS_OF),
-                  after=score_writer(f"{base}/readings", f"{base}/scores")).trigger(
+    upsert_stream(_landed_events(spark, d, base), f"{base}/readings", f"{base}/checkpoint", as_of=to_utc(AS_OF),
+                  after=score_writer(f"{base}/readings", f"{base}/scores", f"{base}/tails")).trigger(
         availableNow=True).start().awaitTermination()
-    scores = spark.read.parquet(f"{base}/scores")
-    current = current_scores(tables.read_readings(spark, f"{base}/readings"), scores)
+    current = current_scores(tables.read_readings(spark, f"{base}/readings"), read_scores(spark, f"{base}/scores"))
     return current.select(*READING_KEY, "value", "rolling_avg", "rolling_stddev", "z_score", "window_size")

@@ -6,9 +6,10 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from airloom.operators import positions
 from airloom.operators.filters import changed_since
 from airloom.operators.places import EARTH_RADIUS_KM, nearest_stations
-from airloom.operators.rolling import hot_series, rolling_baseline, series_sizes
+from airloom.operators.rolling import PLACE, framed, placed_rows, rolling_baseline
 from airloom.plans.anomalies import anomalies, anomaly_totals
 from airloom.plans.compare import compare, ranking
 from airloom.plans.correlation import correlation, correlations
@@ -16,6 +17,7 @@ from airloom.plans.documents import to_documents
 from airloom.plans.lookup import freshness, health, readings_page, readings_range
 from airloom.plans.summary import air_quality_summary, anomaly_summary, compare_summary
 from airloom.plans.trend import trend
+from airloom.session import written
 from helpers import at, city_frame, reading_frame, seed_cities, seed_readings
 
 AS_OF = "2026-02-21T03:00:00Z"
@@ -96,12 +98,9 @@ def test_sliced_series_have_exact_baselines(spark):
     for i in range(20):
         series[("c", "no2")].append((at("2026-01-01") + timedelta(hours=i), float(i)))
     df = reading_frame(spark, [(*k, v, t) for k, rows in series.items() for t, v in rows])
-    sizes = series_sizes(df)
-    assert {r["city_id"] for r in hot_series(sizes, 100).collect()} == {"a", "b"}
-    assert {r["city_id"] for r in hot_series(sizes, 10, limit=1).collect()} == {"a"}
     expected = brute_force(series, 30)
-    for split in (None, 100, 10, 2_000_000):
-        got = rolling_baseline(df, frame_rows=30, split_rows=split).collect()
+    for frames in (1, 2, 7, 300):
+        got = rolling_baseline(df, frame_rows=30, block_frames=frames).collect()
         assert len(got) == len(expected)
         for r in got:
             size, mean, deviation = expected[(r["city_id"], r["parameter"], r["timestamp"].replace(tzinfo=at("2026-01-01").tzinfo))]
@@ -111,6 +110,43 @@ def test_sliced_series_have_exact_baselines(spark):
                 assert wanted is None or math.isclose(measured, wanted, rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_no_task_grows_with_a_burst_or_a_stray_timestamp(spark, monkeypatch):
+    """A third of all rows in one minute of one series, and one reading of it fifty years earlier."""
+    start = at("2026-01-01")
+    rows = [("hot", "pm25", float(i % 50), start + timedelta(milliseconds=20 * i)) for i in range(3_000)]
+    rows += [("hot", "pm25", 1.0, at("1976-01-01"))]
+    rows += [(f"c{i % 60}", "pm25", float(i % 9), start + timedelta(hours=i)) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "city_id string, parameter string, value double, timestamp timestamp")
+    kept = []
+    monkeypatch.setattr(positions, "written", lambda rows, name: kept.append(written(rows, name)) or kept[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which joins slices of so few rows
+    try:
+        placed = placed_rows(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    slices = [r["n"] for r in kept[0].groupBy(positions.SLICE).agg(F.count("*").alias("n")).collect()]
+    assert max(slices) < 4 * sum(slices) / 8  # of eight range partitions
+    scored = framed(placed, frame_rows=20, block_frames=5)
+    assert scored.columns == df.columns + ["rolling_avg", "rolling_stddev", "window_size"] and scored.count() == 9_001
+    assert scored.where("city_id = 'hot' and window_size < 20").count() == 20
+    own = F.floor(F.col(PLACE) / 100)
+    held = placed.groupBy("city_id", own.alias("block")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert held == 100  # and 20 rows that lead in: what one window ever holds
+
+
+def test_equal_values_have_no_spread_and_nulls_count_as_rows(spark):
+    start = at("2026-01-01")
+    values = [0.1] * 40 + [None] * 5 + [0.3] * 10
+    df = spark.createDataFrame([("c", "p", v, start + timedelta(hours=i)) for i, v in enumerate(values)],
+                               "city_id string, parameter string, value double, timestamp timestamp")
+    got = {r["timestamp"]: r for r in rolling_baseline(df, frame_rows=6, block_frames=2).collect()}
+    by_hour = [got[(start + timedelta(hours=i)).replace(tzinfo=None)] for i in range(55)]
+    assert all(r["rolling_stddev"] == 0 and r["rolling_avg"] == 0.1 and r["window_size"] == 6 for r in by_hour[6:41])
+    assert by_hour[0]["window_size"] == 0 and by_hour[0]["rolling_avg"] is None and by_hour[1]["rolling_stddev"] is None
+    assert by_hour[45]["window_size"] == 6 and by_hour[45]["rolling_avg"] == 0.1 and by_hour[45]["rolling_stddev"] is None
+    assert math.isclose(by_hour[47]["rolling_avg"], 0.3) and by_hour[47]["rolling_stddev"] == 0
+
+
 def test_trend_counts_add_up_and_weeks_are_iso(spark):
     readings, cities = seed_readings(spark), seed_cities(spark)
     for interval, buckets in (("hour", 60), ("day", 3), ("weekly", 1)):

@@ -68,7 +68,7 @@ def test_flags(spark, readings):
 
 def test_hash_is_stable_and_sees_changes(spark, readings, context):
     again = {r["city_id"]: r["context_hash"] for r in insight.insight_context(
-        readings.repartition(7, "value"), seed_cities(spark), AS_OF, split_rows=50).collect()}
+        readings.repartition(7, "value"), seed_cities(spark), AS_OF).collect()}
     assert again == {c: r["context_hash"] for c, r in context.items()}
     other = readings.withColumn("value", F.when(F.col("parameter") == "humidity", 41.0).otherwise(F.col("value")))
     changed = {r["city_id"]: r["context_hash"] for r in insight.insight_context(other, seed_cities(spark), AS_OF).collect()}

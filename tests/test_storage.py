@@ -1,15 +1,16 @@
 import json
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from airloom.operators.constraints import constraint_violations
 from airloom.operators.upsert import flag_readings, latest_per_key, merge_readings, reading_id, reprocess
-from airloom.plans import ingest
+from airloom.plans import ingest, lookup
 from airloom.schemas import CITIES, LOCATIONS_DOC, READINGS
 from airloom.session import work_folder
-from airloom.sources import landed, tables
+from airloom.sources import landed, layers, tables
 from airloom.sources.landed import chosen_sensors, parse_measurements
 from helpers import NOON, at, city_frame, reading_frame, seed_cities, staged_frame
 
@@ -69,15 +70,107 @@ def test_ids_follow_from_the_key(spark):
     assert ids[0] == ids[1] != ids[2]
 
 
-def test_only_touched_partitions_are_rewritten(spark, folder):
-    tables.upsert_readings(spark, batch(spark, ("derby", "pm25", 1.0, 0, 1), ("derby", "pm25", 1.0, 48, 2)), folder, FIRST)
-    path = F.input_file_name()
-    files = lambda: dict(tables.read_readings(spark, folder).select("reading_date", path).collect())
-    old = files()
-    tables.upsert_readings(spark, batch(spark, ("derby", "pm25", 2.0, 0, 1)), folder, SECOND)
-    new = files()
-    days = sorted(old)
-    assert old[days[0]] != new[days[0]] and old[days[1]] == new[days[1]]
+def files_of(path):
+    return sorted(str(f.relative_to(path)) for f in Path(path).glob("data/**/*.parquet"))
+
+
+def test_small_batches_add_files_and_rewrite_none(spark, folder):
+    tables.upsert_readings(spark, batch(spark, *[("derby", "pm25", 1.0, 24 * d, d) for d in range(3)]), folder, FIRST)
+    old = files_of(folder)
+    stamps = {f: (Path(folder) / f).stat().st_mtime_ns for f in old}
+    assert len(old) == 3
+    tables.upsert_readings(spark, batch(spark, ("derby", "pm25", 2.0, 0, 1), ("paris", "pm25", 3.0, 0, 2)), folder, SECOND)
+    new = files_of(folder)
+    assert len(new) == 4 and all((Path(folder) / f).stat().st_mtime_ns == stamps[f] for f in old)
+    assert {k: r["value"] for k, r in stored(spark, folder).items() if k[0] == "paris"} == {("paris", "pm25", 12): 3.0}
+    assert tables.read_readings(spark, folder).count() == 4
+    tables.upsert_readings(spark, batch(spark, ("derby", "pm25", 2.0, 0, 1)), folder, THIRD)
+    assert files_of(folder) == new  # a replay commits nothing
+
+
+@pytest.mark.parametrize("moment", ["data", "log"])
+def test_a_writer_that_dies_leaves_the_table_as_it_was(spark, folder, monkeypatch, moment):
+    tables.upsert_readings(spark, batch(spark, ("derby", "pm25", 1.0, 0, 1)), folder, FIRST)
+    before = stored(spark, folder)
+    corrected = batch(spark, ("derby", "pm25", 9.0, 0, 1), ("derby", "pm25", 5.0, 1, 2))
+    finish = layers.write_log
+
+    def dies(told, path, name):
+        if moment == "log":  # the entry's files are there, the mark that its job has finished is not
+            finish(told, path, name)
+            (Path(path) / "log" / name / "_SUCCESS").unlink()
+        raise OSError("lost")
+
+    monkeypatch.setattr(layers, "write_log", dies)
+    with pytest.raises(OSError):
+        tables.upsert_readings(spark, corrected, folder, SECOND)
+    assert len(files_of(folder)) > 1 and stored(spark, folder) == before
+    monkeypatch.setattr(layers, "write_log", finish)
+    assert tables.upsert_readings(spark, corrected, folder, THIRD) == {"inserted": 1, "updated": 1}
+    after = stored(spark, folder)
+    assert after["derby", "pm25", 12]["value"] == 9.0 and len(after) == 2
+    assert after["derby", "pm25", 12]["updated_at"].day == THIRD.day
+
+
+def test_compaction_roll_up_and_expiry_keep_every_row(spark, folder):
+    for i in range(4):
+        rows = [("derby", "pm25", float(i), 0, 1), (f"c{i}", "pm25", 1.0, 1, 2), ("derby", "no2", 5.0, 24 * i, 3)]
+        tables.upsert_readings(spark, batch(spark, *rows), folder, FIRST + timedelta(hours=i))
+    def content():
+        return sorted(map(tuple, tables.read_readings(spark, folder).collect()))
+
+    def counts():
+        return {(r["city_id"], r["parameter"]): r["n"] for r in tables.reading_log(spark, folder).groupBy("city_id", "parameter").agg(
+            F.sum("valid").alias("n")).collect()}
+
+    rows, valid, several = content(), counts(), len(files_of(folder))
+    assert len(rows) == 9 and valid[("derby", "no2")] == 4 and valid[("derby", "pm25")] == 1
+    assert tables.compact_readings(spark, folder, most_layers=3) == 1 and tables.compact_readings(spark, folder, most_layers=3) == 0
+    assert content() == rows and counts() == valid and len(files_of(folder)) > several
+    layers.roll_up(spark, folder)
+    assert content() == rows and counts() == valid and len(layers.commits(spark, folder)) == 1
+    assert layers.expire(spark, folder, tables.READINGS_LAYOUT) == 4
+    assert content() == rows and layers.expire(spark, folder, tables.READINGS_LAYOUT) == 0
+    tables.upsert_readings(spark, batch(spark, ("derby", "pm25", 77.0, 0, 1)), folder, THIRD)
+    assert stored(spark, folder)["derby", "pm25", 12]["value"] == 77.0 and len(content()) == 9
+
+
+def test_plain_partition_folders_are_taken_in(spark, folder):
+    rows = reading_frame(spark, [("derby", "pm25", 1.0, NOON), ("paris", "pm25", 2.0, NOON)])
+    rows.write.partitionBy("parameter", "reading_date").parquet(folder)
+    assert len(stored(spark, folder)) == 2
+    tables.upsert_readings(spark, batch(spark, ("derby", "pm25", 8.0, 0, 1)), folder, SECOND)
+    assert {k[0]: r["value"] for k, r in stored(spark, folder).items()} == {"derby": 8.0, "paris": 2.0}
+
+
+def test_two_writers_at_once_are_an_error(spark, folder, monkeypatch):
+    tables.upsert_readings(spark, batch(spark, ("derby", "pm25", 1.0, 0, 1)), folder, FIRST)
+    finish = layers.write_log
+
+    def overtaken(told, path, name):
+        finish(told, path, name[:10] + "00000000")
+        finish(told, path, name)
+
+    monkeypatch.setattr(layers, "write_log", overtaken)
+    with pytest.raises(RuntimeError, match="another writer"):
+        tables.upsert_readings(spark, batch(spark, ("derby", "pm25", 2.0, 0, 1)), folder, SECOND)
+
+
+def test_freshness_and_changes_come_from_the_log(spark, folder):
+    cities = seed_cities(spark)
+    tables.upsert_readings(spark, batch(spark, *[("derby", "pm25", 1.0, 24 * d, d) for d in range(4)]), folder, FIRST)
+    tables.upsert_readings(spark, batch(spark, ("derby", "pm25", 3.0, 24, 1), ("leeds", "no2", None, 2, 2)), folder, SECOND)
+    log, table = tables.reading_log(spark, folder), tables.read_readings(spark, folder)
+    assert lookup.health(log, as_of=THIRD).collect() == lookup.health(table, as_of=THIRD).collect()
+    assert sorted(lookup.freshness(log, cities, as_of=THIRD).collect()) == sorted(lookup.freshness(table, cities, as_of=THIRD).collect())
+    read = [f for f in lookup.freshness(log, cities, as_of=THIRD).inputFiles() if folder in f]
+    assert read and all("/log/" in f for f in read)
+    changed = tables.changed_readings(spark, folder, FIRST)
+    assert sorted((r["city_id"], r["value"]) for r in changed.collect()) == [("derby", 3.0), ("leeds", None)]
+    assert "PartitionFilters" in changed._jdf.queryExecution().toString() and changed.count() == 2
+    assert tables.changed_readings(spark, folder, THIRD).count() == 0
+    nothing = tables.reading_log(spark, folder + "-never")
+    assert lookup.health(nothing, as_of=THIRD).first()["last_ingestion_at"] is None
 
 
 def test_touched_partitions_are_pruned_and_exact(spark, folder):

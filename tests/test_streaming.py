@@ -8,11 +8,14 @@ from airloom.functions.numeric import round_half_up
 from airloom.operators.rolling import rolling_baseline
 from airloom.operators.upsert import flag_readings
 from airloom.schemas import READING_KEY, STAGED_READINGS
+from airloom.plans.trend import trend
+from airloom.session import written
 from airloom.sources import landed, tables
-from airloom.streaming.baseline import current_scores, rescore, score_writer
+from airloom.streaming import baseline
+from airloom.streaming.baseline import current_scores, read_scores, score_writer
 from airloom.streaming.ingest import document_stream, upsert_stream
-from airloom.streaming.trend import stream_trend
-from helpers import NOON, at, staged_frame
+from airloom.streaming.trend import read_trend, stream_trend, trend_writer
+from helpers import NOON, at, city_frame, staged_frame
 
 FIRST = at("2026-03-01")
 
@@ -87,38 +90,70 @@ def scores_of(rows):
 
 def full_scores(spark, table, frame):
     valid = tables.read_readings(spark, table).where("quality_flag = 'valid'").select(*READING_KEY, "value")
-    scored = rolling_baseline(valid, frame_rows=frame, split_rows=None)
+    scored = rolling_baseline(valid, frame_rows=frame)
     return scores_of(scored.select(*READING_KEY, "window_size", round_half_up(F.col("rolling_avg"), 4).alias("rolling_avg"),
                                    round_half_up(F.col("rolling_stddev"), 4).alias("rolling_stddev")))
 
 
-def test_stream_scores_equal_a_full_recomputation(spark, tmp_path):
-    """New readings, late ones, corrections and a reading that turns suspect; short and long series."""
-    source, table, scores = (str(tmp_path / n) for n in ("in", "table", "scores"))
-    rng = random.Random(5)
+def test_stream_scores_equal_a_full_recomputation(spark, tmp_path, monkeypatch):
+    """In order, late, corrected and vanishing readings, repeated batches, and readings that came past the scores."""
+    source, table, scores, tails = (str(tmp_path / n) for n in ("in", "table", "scores", "tails"))
+    rng, looked_up = random.Random(5), []
+    monkeypatch.setattr(baseline, "written", lambda rows, name: (name == "baseline-days" and looked_up.append(rows.count())) or
+                        written(rows, name))
 
-    def go():
-        run(upsert_stream(arriving(spark, source), table, str(tmp_path / "cp"), as_of=FIRST,
-                          after=score_writer(table, scores, lookback_days=2, frame_rows=6, split_rows=20)))
-        current = current_scores(tables.read_readings(spark, table), spark.read.parquet(scores))
+    def go(checkpoint="cp"):
+        looked_up.clear()
+        run(upsert_stream(arriving(spark, source), table, str(tmp_path / checkpoint), as_of=FIRST,
+                          after=score_writer(table, scores, tails, frame_rows=6, compact_every=3)))
+        current = current_scores(tables.read_readings(spark, table), read_scores(spark, scores))
         assert scores_of(current) == full_scores(spark, table, 6)
+        assert current.count() == current.select(*READING_KEY).distinct().count()
+        return list(looked_up)
 
     start = at("2026-02-01")
     value = lambda: round(rng.uniform(1, 100), 1)
     arrive(spark, source, [("c", "pm25", value(), start + timedelta(hours=6 * i), i) for i in range(40)]
            + [("d", "no2", value(), start + timedelta(days=3 * i), i) for i in range(5)])
-    go()
+    assert go() == [0]
     arrive(spark, source, [("c", "pm25", value(), start + timedelta(hours=6 * 40), 50), ("d", "no2", value(), at("2026-02-20"), 51),
                            ("e", "no2", value(), at("2026-02-20"), 52)])
-    go()
+    assert go() == [0]  # old and young series that go on in order: the table is not read
     arrive(spark, source, [("c", "pm25", value(), start + timedelta(hours=6 * 20), 60),
                            ("c", "pm25", 999.0, start + timedelta(hours=6 * 22), 61),
                            ("c", "pm25", value(), start + timedelta(hours=6 * 21 + 1), 62)])
+    days = go()
+    assert 0 < days[0] <= 2 + 2 + 3 + 2  # its own days, a frame before, a frame after and the tail, of eleven
+    arrive(spark, source, [("d", "no2", 999.0, at("2026-02-20"), 70), ("e", "no2", 999.0, at("2026-02-20"), 71)])
+    go()  # the last reading of one series is gone, and the only one of another
+    arrive(spark, source, [("d", "no2", value(), at("2026-02-27"), 80), ("e", "no2", value(), at("2026-02-27"), 81)])
+    assert go() == [0]
+    past = flag_readings(staged_frame(spark, [("d", "no2", value(), at("2026-02-28"), 85)]))
+    tables.upsert_readings(spark, past, table, FIRST)  # nobody has scored this one
+    arrive(spark, source, [("d", "no2", value(), at("2026-03-01"), 90)])
+    assert go()[0] > 0
+    go("replay")  # all batches again
+
+
+def test_stream_trend_equals_the_batch_trend(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "table")
+    cities = city_frame(spark, *[(c, c, "X", "XX", True) for c in "cd"])
+    start = at("2026-02-14")
+
+    def go(checkpoint="cp"):
+        for name in ("hour", "day", "week"):
+            run(upsert_stream(arriving(spark, source), table, str(tmp_path / f"{checkpoint}-{name}"), as_of=FIRST,
+                              after=trend_writer(table, str(tmp_path / name), name, compact_every=2)))
+            kept = ["city_id", "parameter", "period", "avg", "min", "max", "reading_count"]
+            batch = trend(tables.read_readings(spark, table), cities, as_of="2026-03-01T00:00:00Z", interval=name, days=30)
+            assert sorted(map(tuple, read_trend(spark, str(tmp_path / name)).select(*kept).collect())) == sorted(
+                map(tuple, batch.select(*kept).collect()))
+
+    arrive(spark, source, [("c", "pm25", float(h), start + timedelta(hours=h), h) for h in range(80)])
     go()
-
-
-def test_rescoring_reads_no_more_than_it_reports(spark, tmp_path):
-    rows = flag_readings(staged_frame(spark, [("c", "pm25", float(i), at("2026-02-01") + timedelta(hours=i), i) for i in range(50)]))
-    touched = rows.where("ingest_seq = 20")
-    got = rescore(rows, touched, frame_rows=5, split_rows=None)
-    assert sorted(r["value"] for r in got.collect()) == [float(i) for i in range(20, 26)]
+    arrive(spark, source, [("c", "pm25", 70.0, start + timedelta(hours=3), 100), ("d", "no2", 1.0, start - timedelta(days=9), 101),
+                           ("c", "pm25", None, start + timedelta(hours=79), 102), ("d", "no2", 2.0, start, 103)])
+    go()  # a correction, a reading weeks late, and hours that lose their only reading
+    arrive(spark, source, [("d", "no2", 900.0, start, 110), ("c", "pm25", 5.0, start + timedelta(hours=79), 111)])
+    go()
+    go("replay")
