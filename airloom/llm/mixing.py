@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from airloom.llm.common import fresh, stored, texts, words_of
 
 PULL = 1e-3  # weight of staying near the plain rate of 1
-STEPS = 60
-CLOSE = 1e-6
+MOST_STEPS = 2_000  # an error beyond: the steps shrink by a constant factor, tens are usual
+CLOSE = 1e-7
 TEMPER = 0.5  # bytes of a text are not independent: n of them count as n ** TEMPER observations
 
 
@@ -81,11 +82,12 @@ def fit_rates(members: DataFrame, shares: np.ndarray, budget: float | None = Non
               least: float = 0.0) -> tuple[list[np.ndarray], float]:
     """Projected gradient on document rates so that expected domain token totals meet ``shares`` of ``budget``.
 
-    Minimises the squared relative errors of the totals, weighted by share, plus ``PULL`` times the token-weighted
-    squared distance of the rates from 1, over rates of ``least`` or more. The budget is by default what all
-    documents hold, or, with a ``least``, the smallest that reaches the shares from there. A step needs the
-    domain totals of all documents, which are summed per partition, and yields one number per domain; the
-    rates themselves are recomputed from these and are never collected.
+    Minimises the squared errors of the totals plus ``PULL`` times the token-weighted squared distance of the rates from
+    1, over rates of ``least`` or more. Each domain's error is scaled by its own curvature, so a domain that holds a
+    thousandth of the tokens moves as fast as the others. Steps are taken until they change nothing any more. The
+    budget is by default what all documents hold, or, with a ``least``, the smallest that reaches the shares from
+    there. A step needs the domain totals of all documents, which are summed per partition, and yields one number per
+    domain; the rates themselves are recomputed from these and are never collected.
     """
     size = len(shares)
 
@@ -95,7 +97,8 @@ def fit_rates(members: DataFrame, shares: np.ndarray, budget: float | None = Non
             for batch in batches:
                 p, n = _posteriors(batch, size), batch["n_tokens"].to_numpy(float)
                 total[:, 0] += p.T @ (n * _rates(p, pulls, step, least))
-                total[:, 1:] += (p * n[:, None]).T @ p
+                if not pulls:
+                    total[:, 1:] += (p * n[:, None]).T @ p
             yield pd.DataFrame({"i": np.repeat(np.arange(size), size + 1), "j": np.tile(np.arange(size + 1), size),
                                 "x": total.ravel()})
 
@@ -108,18 +111,27 @@ def fit_rates(members: DataFrame, shares: np.ndarray, budget: float | None = Non
     plain = totals([], 0.0)
     reached = plain[:, 0]
     goal = shares * (budget or max(least * (reached / shares).max(), (least == 0) * reached.sum(), 1e-12))
-    weight = reached.sum() / goal.sum()
-    # Curvature of the errors in token-weighted rates: it bounds the step.
-    curve = weight * plain[:, 1:] / np.sqrt(np.outer(goal, goal))
+    scale = np.maximum(plain[:, 1:].diagonal(), 1e-12)
+    curve = plain[:, 1:] / np.sqrt(np.outer(scale, scale))  # ones on the diagonal; its largest value bounds the step
     step = 1 / (np.linalg.eigvalsh(curve).max() + PULL)
     pulls: list[np.ndarray] = []
-    for _ in range(STEPS):
-        pull = weight * (reached - goal) / goal
-        if pulls and np.abs(pull - pulls[-1]).max() < CLOSE:
-            break
+    while True:
+        pull = (reached - goal) / scale
+        if pulls and np.abs(pull - pulls[-1]).max() <= CLOSE * max(1.0, np.abs(pulls[0]).max()):
+            return pulls, step
+        if len(pulls) == MOST_STEPS:
+            raise RuntimeError(f"the rates have not settled after {MOST_STEPS} steps")
         pulls.append(pull)
         reached = totals(pulls, step)[:, 0]
-    return pulls, step
+
+
+def reached_shares(mixed: DataFrame, domains: list[str]) -> DataFrame:
+    """``domain, tokens, share`` that the rates of :func:`mix` lead to in expectation: one row per domain."""
+    parts = mixed.select((F.col("n_tokens") * F.col("rate")).alias("wanted"), F.posexplode("posterior").alias("i", "p"))
+    each = parts.groupBy("i").agg(F.sum(F.col("wanted") * F.col("p")).alias("tokens"))
+    names = F.array(*[F.lit(d) for d in domains])
+    # One row per domain: the window is as small.
+    return each.select(names[F.col("i")].alias("domain"), "tokens", (F.col("tokens") / F.sum("tokens").over(W.partitionBy())).alias("share"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None,

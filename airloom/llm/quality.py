@@ -17,6 +17,7 @@ WIDTH = 2.0  # of the Gaussian kernel, in standard deviations of the statistics
 RIDGE = 1e-3
 CUT = 0.7
 BINS = 1024
+SLICES = 1_000
 SEED = 11
 # Shares are taken of so many bytes or words more: a telephone number in a text of five words says little about it.
 FEW_BYTES, FEW_WORDS = 64, 8
@@ -121,8 +122,13 @@ def _normal_equations(rows: DataFrame, model: QualityModel) -> tuple[np.ndarray,
     def add(lines: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": lines["i"].iloc[:1], "line": [np.sum(lines["line"].tolist(), axis=0)]})
 
-    lines = rows.mapInPandas(run, "i int, line array<double>").groupBy("i").applyInPandas(
-        add, "i int, line array<double>")
+    def add_slice(lines: pd.DataFrame) -> pd.DataFrame:
+        return add(lines).assign(slice=lines["slice"].iloc[0])
+
+    # Two levels: a group holds a line per partition of its slice, then one per slice.
+    each = rows.mapInPandas(run, "i int, line array<double>").withColumn("slice", F.spark_partition_id() % SLICES)
+    lines = each.groupBy("i", "slice").applyInPandas(add_slice, "i int, line array<double>, slice int").select("i", "line").groupBy(
+        "i").applyInPandas(add, "i int, line array<double>")
     made = lines.toPandas().sort_values("i")  # FEATURES + 1 rows, whatever the input
     both = np.array(made["line"].tolist()).reshape(size, size + 1)
     return both[:, :-1], both[:, -1]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from airloom.llm.components import components, local_roots
 from airloom.llm.embedding import near_vectors
-from airloom.llm.exact_dedup import build_index, directory, drop_copies, exact_dedup
+from airloom.llm.exact_dedup import build_index, directory, drop_copies, exact_dedup, probes
 from airloom.llm.mixing import repeat_to_targets
 from airloom.llm.simhash import drop_near_copies, fingerprint, simhash_groups
 
@@ -72,10 +72,35 @@ def test_directory_splits_overfull_buckets_only(spark):
         assert inside > 100, (parent, d, parents)
 
 
-def test_equal_keys_stay_together(spark):
-    same = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
-    index = build_index(same, capacity=1, max_bits=2)
-    assert index.count() == 50 and index.select("bucket").distinct().count() <= 4
+def test_owners_hold_whole_buckets_and_hot_texts_send_one_entry(spark):
+    rows = [(i, f"text {i}") for i in range(50)] + [(1_000 + i, "hot") for i in range(400)] + [(None, None)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for hot_rows in (1, 100, 10_000):  # every text counted beforehand, the hot ones, none
+        looked = probes(docs)
+        cells, index = build_index(docs, looked, capacity=4, max_bits=5, hot_rows=hot_rows)
+        entries = index.collect()
+        assert len(entries) == 52 and len({e["key"] for e in entries}) == 52
+        sizes = defaultdict(int)
+        for e in entries:
+            sizes[e["bucket"]] += 1
+            assert e["bucket"] == (e["key"] % (1 << 64)) >> 59 >> (5 - e["depth"]) << (5 - e["depth"])
+        assert len(sizes) > 5 and sum(n <= 4 for n in sizes.values()) >= len(sizes) - 2
+        hot = {r["text_sha256"]: (r["keep_id"], r["group_size"]) for r in entries if r["group_size"] > 1}
+        assert hot == {hashlib.sha256(b"hot").hexdigest(): (1_399, 400), hashlib.sha256(b"").hexdigest(): (None, 300)}
+        assert exact_dedup(docs, capacity=4, max_bits=5, hot_rows=hot_rows).where("kept").count() == 52
+
+
+def test_texts_of_one_key_are_chained_and_compared(spark, monkeypatch):
+    """With a key of the text's length alone most texts collide."""
+    from airloom.llm import exact_dedup as module
+    monkeypatch.setattr(module.F, "xxhash64", lambda *c: F.length(*c).cast("long") * (1 << 50))
+    rows = [(i, "abcdefgh"[i % 8] * (1 + i % 3)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = module.exact_dedup(docs, capacity=2, max_bits=6).collect()
+    assert len(found) == 120 and {r["chain"] for r in found} == set(range(8))
+    for r in found:
+        same = [i for i, t in rows if hashlib.sha256(t.encode()).hexdigest() == r["text_sha256"]]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (max(same), len(same), r["doc_id"] == max(same))
 
 
 def reference_print(text, size):

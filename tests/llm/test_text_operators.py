@@ -300,6 +300,42 @@ def test_mixing_meets_targets(spark, folder):
     assert more.columns == docs.columns and more.select("doc_id").distinct().count() == docs.count()
 
 
+@pytest.mark.parametrize("few", [0.01, 0.001])
+def test_mixing_reaches_targets_of_domains_that_are_nearly_absent(spark, few):
+    """Against the exact solution for documents whose domain is certain: one rate per domain."""
+    draw = np.random.default_rng(4)
+    kinds = {"aa": "abcde", "bb": "mnopq"}
+    docs = [(i, d, " ".join("".join(draw.choice(list(kinds[d]), 6)) for _ in range(200)))
+            for i, d in enumerate(["bb"] * max(1, int(2_000 * few)) + ["aa"] * int(2_000 * (1 - few)))]
+    frame = spark.createDataFrame(docs, "doc_id long, domain string, text string").repartition(4).cache()
+    targets = {"aa": 0.88, "bb": 0.12}
+    rows = mixing.mix(frame, frame.select("doc_id", "domain"), targets)
+    shares = {r["domain"]: r["share"] for r in mixing.reached_shares(rows, list(targets)).collect()}
+    assert shares["bb"] == pytest.approx(0.12, rel=0.01) and sum(shares.values()) == pytest.approx(1)
+    lone = rows.select("posterior", "n_tokens", "rate").toPandas()
+    sure = np.array(lone["posterior"].tolist())[:, 1] > 0.999
+    assert lone["rate"][sure].to_numpy() == pytest.approx(0.12 * lone["n_tokens"].sum() / lone["n_tokens"][sure].sum(), rel=0.02)
+
+
+def test_rates_minimise_what_they_should(spark):
+    """Soft memberships and a lower bound, against plain projected gradient on all rates at once."""
+    draw = np.random.default_rng(6)
+    p = draw.dirichlet([0.4, 0.3, 0.2], 300)
+    n = draw.integers(1, 500, 300).astype(float)
+    members = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(n, p))], "doc_id long, n_tokens long, posterior array<double>")
+    shares = np.array([0.2, 0.3, 0.5])
+    for least, budget in ((0.0, None), (1.0, None), (0.5, 2 * n.sum())):
+        pulls, step = mixing.fit_rates(members, shares, budget, least)
+        found = mixing._rates(p, pulls, step, least)
+        plain = (p * n[:, None]).sum(0)
+        goal = shares * (budget or max(least * (plain / shares).max(), (least == 0) * plain.sum()))
+        scale = ((p * n[:, None]).T @ p).diagonal()
+        rate = np.ones(300)
+        for _ in range(20_000):
+            rate = np.maximum(least, rate - 0.2 * (p @ (((p * (n * rate)[:, None]).sum(0) - goal) / scale) + mixing.PULL * (rate - 1)))
+        assert np.allclose(found, rate, atol=1e-3)
+
+
 def test_mixing_of_odd_rows(odd_docs, no_docs):
     labelled = odd_docs.where("doc_id is not null").select("doc_id", F.col("lang").alias("domain")).distinct()
     rows = mixing.mix(odd_docs, labelled, {"en": 0.5, "de": 0.5}).collect()
