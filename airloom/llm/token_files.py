@@ -9,6 +9,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -33,7 +34,8 @@ LEAST_IDS = 1 << 20  # a table is not cut into files smaller than this for the s
 READ_BLOCKS = 64  # blocks that a reading task takes
 LEVEL = 3
 ROWS = 500  # documents per batch handed back
-MEMO, MEMO_CHARS = 400_000, 64  # words, twice so many at most, whose ids a worker remembers, and their length
+MEMO, MEMO_CHARS = 600_000, 64  # words, twice so many at most, whose ids a worker remembers, and their length
+PIECES_KEPT = 300_000
 STRETCH = 1 << 20  # characters of a long text that are cut into words at once
 END = 0
 
@@ -105,7 +107,7 @@ class TextEncoder:
     def learn_words(self, words: set[str]) -> None:
         plain = list(filter(PLAIN, words))
         cut = list(map(PIECES.findall, map(" ".__add__, plain)))
-        if len(self.pieces) > MEMO:
+        if len(self.pieces) > PIECES_KEPT:
             self.pieces.clear()
         new = list(set(chain.from_iterable(cut)).difference(self.pieces))
         if new:
@@ -117,19 +119,24 @@ class TextEncoder:
 
     def spaced(self, words: list[str]) -> bytes:
         """Ids of the words with a space before each. Words not met for ``MEMO`` new ones are forgotten."""
-        new = set(words).difference(self.words)
-        if new:
+        ids = list(map(self.words.get, words))
+        at, unknown = -1, []
+        with suppress(ValueError):
+            while True:
+                unknown.append(at := ids.index(None, at + 1))
+        if unknown:
+            new = {words[i] for i in unknown}
             if len(self.words) > MEMO:
                 self.older, self.words = self.words, {}
-                new = set(words)
             known = set(filter(self.older.__contains__, new))
             self.words.update(zip(known, map(self.older.__getitem__, known)))
             self.learn_words(new - known)
-        made = b"".join(map(self.words.__getitem__, words))
-        for word in new:
-            if len(word) > MEMO_CHARS:
-                del self.words[word]
-        return made
+            for i in unknown:
+                ids[i] = self.words[words[i]]
+            for word in new:
+                if len(word) > MEMO_CHARS:
+                    del self.words[word]
+        return b"".join(ids)
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece or any(a in text for a in self.added):
