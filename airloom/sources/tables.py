@@ -110,13 +110,13 @@ def touched_partitions(table: DataFrame, batch: DataFrame, partitions: list[str]
     return table.join(batch.select(*partitions).distinct(), partitions, "left_semi")
 
 
-def upsert_readings(spark: SparkSession, batch: DataFrame, path: str, as_of: datetime) -> dict[str, int]:
+def merge_into(spark: SparkSession, batch: DataFrame, path: str, as_of: datetime) -> tuple[dict[str, int], str | None]:
     """Merge a flagged batch into the readings table: inserted and changed rows become one more layer of their days.
 
     The batch is compared with the partitions it falls into and with nothing else; rows already stored are never
     written again. All of it counts at once, when the log entry is written; a writer that dies before leaves the table
     as it was. Replaying a batch changes nothing and commits nothing. One writer at a time. Returns the number
-    of inserted and updated readings.
+    of inserted and updated readings, and the version under which the log tells more of them.
     """
     if not commits(spark, path):
         flat = _flat_readings(spark, path)
@@ -128,11 +128,21 @@ def upsert_readings(spark: SparkSession, batch: DataFrame, path: str, as_of: dat
     rows = merged.where(F.col("action").isin("inserted", "updated")).withColumn(REPLACED, F.col("action") == "updated").persist()
     try:
         counts = rows.agg(F.count_if(~F.col(REPLACED)).alias("inserted"), F.count_if(REPLACED).alias("updated")).first().asDict()
-        if any(counts.values()):
-            append_layer(spark, path, READINGS_LAYOUT, rows)
+        return counts, append_layer(spark, path, READINGS_LAYOUT, rows) if any(counts.values()) else None
     finally:
         rows.unpersist()
-    return counts
+
+
+def upsert_readings(spark: SparkSession, batch: DataFrame, path: str, as_of: datetime) -> dict[str, int]:
+    """:func:`merge_into`, returning the number of inserted and updated readings."""
+    return merge_into(spark, batch, path, as_of)[0]
+
+
+def merged_by_city(spark: SparkSession, path: str, version: str | None) -> DataFrame:
+    """Readings inserted and updated per city by one commit, from the log; none for a batch that changed nothing."""
+    log = reading_log(spark, path).where(F.col("version").eqNullSafe(F.lit(version)))
+    return log.groupBy("city_id").agg((F.sum("rows") - F.sum("replaced")).alias("readings_inserted"),
+                                      F.sum("replaced").alias("readings_updated"))
 
 
 def write_cities(cities: DataFrame, path: str) -> None:

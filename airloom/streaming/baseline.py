@@ -18,7 +18,7 @@ from airloom.session import written
 from airloom.sources.layers import REPLACED, Layout, append_layer, compact, read_layers
 from airloom.sources.tables import READINGS_LAYOUT, compact_readings, reading_log
 
-BUCKETS = 256
+BUCKETS = 32
 COMPACT_EVERY = 32
 
 _series = [T.StructField(name, T.StringType()) for name in SERIES_KEY]
@@ -109,6 +109,16 @@ def rows_to_score(spark: SparkSession, table: str, batch: DataFrame, state: Data
     return old.unionByName(new).unionByName(again)
 
 
+def _commit(spark: SparkSession, path: str, layout: Layout, rows: DataFrame) -> None:
+    """One more layer, unless there are no rows. Files and log entry come from one evaluation."""
+    rows = rows.persist()
+    try:
+        if not rows.isEmpty():
+            append_layer(spark, path, layout, rows)
+    finally:
+        rows.unpersist()
+
+
 def score_writer(table: str, scores: str, tails: str, *, frame_rows: int = FRAME_ROWS,
                  compact_every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
     """An ``after`` step for the ingest stream that keeps scores, and the tail of every series, next to the readings.
@@ -134,18 +144,15 @@ def score_writer(table: str, scores: str, tails: str, *, frame_rows: int = FRAME
                              F.explode(F.sequence(F.lit(1).cast("long"), F.lit(frame_rows).cast("long"))).alias("nth"))
         # A late batch may also shorten a series: its other places are emptied.
         tail = slots.join(ended, [*SERIES_KEY, "nth"], "left").where(F.col("timestamp").isNotNull() | ~F.col("in_order") | (F.col("nth") == 1))
-        new_tails = written(tail.select(*SERIES_KEY, "nth", "timestamp", "value", "total", "last_seen", _bucket(),
-                                        F.lit(True).alias(REPLACED)), "baseline-tails")
-        append_layer(spark, tails, TAILS_LAYOUT, new_tails)
+        _commit(spark, tails, TAILS_LAYOUT, tail.select(
+            *SERIES_KEY, "nth", "timestamp", "value", "total", "last_seen", _bucket(), F.lit(True).alias(REPLACED)))
         scored = framed(placed.drop("held"), frame_rows=frame_rows).where("report").join(
             state.select(*SERIES_KEY, (~F.col("in_order")).alias(REPLACED)), SERIES_KEY)
         z = z_score(F.col("value"), F.col("rolling_avg"), F.col("rolling_stddev"))
-        fresh = written(scored.select(
+        _commit(spark, scores, SCORES_LAYOUT, scored.select(
             *SERIES_KEY, "timestamp", "value", round_half_up(F.col("rolling_avg"), 4).alias("rolling_avg"),
             round_half_up(F.col("rolling_stddev"), 4).alias("rolling_stddev"),
-            round_half_up(z, 4).alias("z_score"), "window_size", F.to_date("timestamp").alias("reading_date"), REPLACED), "baseline-scores")
-        if not fresh.isEmpty():
-            append_layer(spark, scores, SCORES_LAYOUT, fresh)
+            round_half_up(z, 4).alias("z_score"), "window_size", F.to_date("timestamp").alias("reading_date"), REPLACED))
         if compact_every and batch_id % compact_every == compact_every - 1:
             compact(spark, tails, TAILS_LAYOUT)
             compact(spark, scores, SCORES_LAYOUT)

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from airloom.operators.upsert import flag_readings, insertable
+from airloom.plans.ingest import cycle_report, ingest_stats, stage_readings
 from airloom.schemas import CORRUPT_COLUMN, MISSING, SUSPECT, VALID
-from airloom.sources.tables import upsert_readings
+from airloom.sources.landed import fetch_errors
+from airloom.sources.tables import merge_into, merged_by_city, upsert_readings
 
 
 def quality_counts(staged: DataFrame) -> dict:
@@ -78,3 +81,57 @@ def document_stream(documents: DataFrame, parse: Callable[[DataFrame], DataFrame
             held.unpersist()
 
     return documents.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+
+
+def cycle_stream(sources: dict[str, tuple[DataFrame, Callable[[DataFrame], DataFrame]]], cities: DataFrame, base: str, *,
+                 as_of: datetime | None = None) -> DataStreamWriter:
+    """Landed documents of several sources as one stream of ingest cycles, each micro-batch one cycle.
+
+    ``sources`` maps a name to a streaming frame of documents and the function that turns readable ones into staged
+    readings. Below ``base`` a cycle upserts ``readings`` of active cities, and leaves, in a folder of its own number that
+    a repeated cycle overwrites: ``quarantine`` (unreadable lines), ``errors`` (documents that report a failed fetch),
+    ``stats`` (per active city: readings fetched, their flags, readings inserted and updated) and ``reports`` (one row:
+    cities attempted, succeeded and failed, readings written). A city's failure stops no other. A cycle that is
+    repeated after its readings were stored reports nothing written, since nothing was.
+    """
+    def packed(chosen: str) -> DataFrame:
+        return sources[chosen][0].select(F.lit(chosen).alias("kind"), *[
+            F.struct(*documents.columns).alias(name) if name == chosen
+            else F.lit(None).cast(documents.schema).alias(name) for name, (documents, _) in sources.items()])
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark, now = batch.sparkSession, as_of or datetime.now(timezone.utc)
+        folder = base.rstrip("/")
+
+        def keep(rows: DataFrame, name: str) -> None:
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/cycle={batch_id}")
+
+        held = batch.persist()
+        try:
+            each = {name: held.where(F.col("kind") == name).select(f"{name}.*") for name in sources}
+            broken = [d.where(F.col(CORRUPT_COLUMN).isNotNull()).select(F.lit(n).alias("source"), F.col(CORRUPT_COLUMN).alias("line"))
+                      for n, d in each.items()]
+            readable = {n: d.where(F.col(CORRUPT_COLUMN).isNull()).drop(CORRUPT_COLUMN) for n, d in each.items()}
+            errors = fetch_errors(*readable.values())
+            keep(reduce(DataFrame.unionByName, broken), "quarantine")
+            keep(errors, "errors")
+            staged = insertable(stage_readings(cities, *[sources[n][1](d) for n, d in readable.items()])).persist()
+            try:
+                _, version = merge_into(spark, staged, f"{folder}/readings", now)
+                counts = merged_by_city(spark, f"{folder}/readings", version)
+                stats = ingest_stats(staged, cities).join(counts, "city_id", "left").fillna(
+                    0, ["readings_inserted", "readings_updated"])
+                keep(stats, "stats")
+                keep(cycle_report(cities, counts, errors), "reports")
+            finally:
+                staged.unpersist()
+        finally:
+            held.unpersist()
+
+    stream = reduce(DataFrame.unionByName, [packed(name) for name in sources])
+    return stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{base.rstrip('/')}/checkpoint")
+
+
+def read_cycles(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """``quarantine``, ``errors``, ``stats`` or ``reports`` of all cycles, with the number of the ``cycle``."""
+    return spark.read.option("basePath", f"{base.rstrip('/')}/{name}").parquet(f"{base.rstrip('/')}/{name}")

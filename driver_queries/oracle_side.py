@@ -651,6 +651,16 @@ ORACLE: dict[str, str] = {
                    QUALIFY row_number() OVER (PARTITION BY city_id, parameter, "timestamp" ORDER BY ingest_seq DESC) = 1)
         SELECT parameter AS kind, f AS quality_flag, count(*) AS rows FROM newest GROUP BY 1, 2
         UNION ALL SELECT 'quarantine', 'unreadable', count(*) FROM docs WHERE wind_unit = 'm/s'""",
+    "stream_cycles": f"""WITH {WEATHER}, kept AS (
+          SELECT * FROM weather WHERE (city_id, ingest_seq) IN (SELECT (city_id, epoch_us(ts)) FROM docs WHERE wind_unit = 'km/h')),
+        failed AS (SELECT city_id, count(*) AS n FROM docs WHERE wind_unit = 'm/s' GROUP BY 1),
+        counted AS (SELECT city_id, count(*) AS fetched, count(DISTINCT (parameter, "timestamp")) AS inserted,
+                           count(*) FILTER (value IS NULL) AS missing FROM kept GROUP BY 1)
+        SELECT CAST(n_nationkey AS VARCHAR) AS city_id, CAST(coalesce(fetched, 0) AS BIGINT) AS readings_fetched,
+               CAST(coalesce(inserted, 0) AS BIGINT) AS readings_inserted, CAST(coalesce(missing, 0) AS BIGINT) AS quality_missing,
+               CAST(coalesce(n, 0) AS BIGINT) AS fetch_errors
+        FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN counted c ON c.city_id = CAST(n_nationkey AS VARCHAR)
+        LEFT JOIN failed f ON f.city_id = CAST(n_nationkey AS VARCHAR) WHERE r_name <> 'MIDDLE EAST'""",
     "stream_trend_hour": q(buckets("hour", where="TRUE") + " SELECT * FROM b"),
     "stream_trend_day": q(buckets("day", where="TRUE") + " SELECT * FROM b"),
     "stream_trend_week": q(buckets("week", where="TRUE") + " SELECT * FROM b"),

@@ -33,7 +33,7 @@ from airloom.schemas import LOCATIONS_DOC, MEASUREMENTS_DOC, READING_KEY, READIN
 from airloom.session import apply_settings, ensure_checkpoint_folder, work_folder
 from airloom.sources import insights, landed, tables
 from airloom.streaming.baseline import current_scores, read_scores, score_writer
-from airloom.streaming.ingest import document_stream, upsert_stream
+from airloom.streaming.ingest import cycle_stream, document_stream, read_cycles, upsert_stream
 from airloom.streaming.trend import read_trend, stream_trend, trend_writer
 from airloom.operators.filters import usable_readings
 from driver_queries import tables as given
@@ -710,6 +710,27 @@ def stream_documents(spark, d):
     return stored.unionByName(kept).groupBy("kind", "quality_flag").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@registered
+def stream_cycles(spark, d):
+    """Landed weather in ingest cycles: every error event is a failed fetch, and cities of the Middle East are inactive."""
+    base = work_folder(spark, "stream-cycles")
+    documents = given.weather_documents(spark, d)
+    failed = F.col("hourly_units.wind_speed_10m") == "m/s"
+    landed_rows = documents.withColumns({
+        "error": F.when(failed, F.lit("timeout")), "hourly": F.when(~failed, F.col("hourly")),
+        "hourly_units": F.when(~failed, F.col("hourly_units"))})
+    landed_rows.repartition(3, "city_id").write.json(f"{base}/landing")
+    weather = landed.read_weather(spark, f"{base}/landing", streaming=True)
+    cities = given.cities(spark, d)
+    cycle_stream({"weather": (weather, landed.parse_weather)}, cities, base, as_of=to_utc(AS_OF)).trigger(
+        availableNow=True).start().awaitTermination()
+    stats = read_cycles(spark, base, "stats").groupBy("city_id").agg(
+        F.sum("readings_fetched").alias("readings_fetched"), F.sum("readings_inserted").alias("readings_inserted"),
+        F.sum("quality_missing").alias("quality_missing"))
+    errors = read_cycles(spark, base, "errors").groupBy("city_id").agg(F.count(F.lit(1)).alias("fetch_errors"))
+    return stats.join(errors, "city_id", "left").fillna(0, ["fetch_errors"])
+
+
 def _stream_trend(interval: str) -> Query:
     """Buckets kept equal to the batch trend over four files, with late readings and corrections."""
     def run(spark: SparkSession, d: str) -> DataFrame:

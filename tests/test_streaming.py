@@ -13,7 +13,7 @@ from airloom.session import written
 from airloom.sources import landed, tables
 from airloom.streaming import baseline
 from airloom.streaming.baseline import current_scores, read_scores, score_writer
-from airloom.streaming.ingest import document_stream, upsert_stream
+from airloom.streaming.ingest import cycle_stream, document_stream, read_cycles, upsert_stream
 from airloom.streaming.trend import read_trend, stream_trend, trend_writer
 from helpers import NOON, at, city_frame, staged_frame
 
@@ -157,3 +157,48 @@ def test_stream_trend_equals_the_batch_trend(spark, tmp_path):
     arrive(spark, source, [("d", "no2", 900.0, start, 110), ("c", "pm25", 5.0, start + timedelta(hours=79), 111)])
     go()
     go("replay")
+
+
+def test_cycles_of_two_sources_isolate_failures(spark, tmp_path):
+    """Two sources in one stream: failed fetches, an unreadable line, an inactive city, a later correction, a replay."""
+    base, cities = str(tmp_path / "base"), city_frame(
+        spark, *[(c, c.title(), "X", "XX", c != "old") for c in ("derby", "leeds", "york", "old")])
+    weather, measured = tmp_path / "weather", tmp_path / "measured"
+    sensors = spark.createDataFrame([("derby", "pm25", 5, "u", "s"), ("old", "pm25", 6, "u", "s")],
+                                    "city_id string, parameter string, sensor_id long, sensor_unit string, station_name string")
+
+    def forecast(city, value, fetched="2026-02-20T12:00:00Z"):
+        return {"city_id": city, "fetched_at": fetched, "hourly": {"time": ["2026-02-20T10:00"], "temperature_2m": [value]},
+                "hourly_units": {"temperature_2m": "°C"}}
+
+    def reading(city, sensor, value):
+        return {"city_id": city, "sensor_id": sensor, "fetched_at": "2026-02-20T12:00:00Z",
+                "results": [{"value": value, "datetime": {"utc": "2026-02-20T10:00:00Z"}}]}
+
+    def land(folder, name, *documents):
+        folder.mkdir(exist_ok=True)
+        (folder / name).write_text("\n".join(d if isinstance(d, str) else json.dumps(d) for d in documents) + "\n")
+
+    def go():
+        run(cycle_stream({
+            "weather": (landed.read_weather(spark, str(weather), streaming=True), landed.parse_weather),
+            "measured": (landed.read_measurements(spark, str(measured), streaming=True), lambda d: landed.parse_measurements(d, sensors))},
+            cities, base, as_of=FIRST))
+        return {r["cycle"]: tuple(r)[:4] for r in read_cycles(spark, base, "reports").collect()}
+
+    land(weather, "a.json", forecast("derby", 5.0), "{broken", {"city_id": "leeds", "error": "timeout"}, forecast("old", 1.0))
+    land(measured, "a.json", reading("derby", 5, 7.0), reading("old", 6, 7.0), {"city_id": "old", "error": "gone"})
+    assert go() == {0: (3, 2, 1, 2)}
+    land(weather, "b.json", forecast("derby", 6.0, "2026-02-20T13:00:00Z"), forecast("leeds", 2.0))
+    land(measured, "b.json", {"city_id": "york", "error": "timeout"}, "[1")
+    assert go()[1] == (3, 2, 1, 2)
+    stored = {(r["city_id"], r["parameter"]): r["value"] for r in tables.read_readings(spark, f"{base}/readings").collect()}
+    assert stored == {("derby", "temperature"): 6.0, ("derby", "pm25"): 7.0, ("leeds", "temperature"): 2.0}
+    assert sorted((r["cycle"], r["city_id"], r["error"]) for r in read_cycles(spark, base, "errors").collect()) == [
+        (0, "leeds", "timeout"), (0, "old", "gone"), (1, "york", "timeout")]
+    assert sorted((r["cycle"], r["source"], r["line"]) for r in read_cycles(spark, base, "quarantine").collect()) == [
+        (0, "weather", "{broken"), (1, "measured", "[1")]
+    stats = {(r["cycle"], r["city_id"]): (r["readings_fetched"], r["readings_inserted"], r["readings_updated"])
+             for r in read_cycles(spark, base, "stats").collect()}
+    assert stats == {(0, "derby"): (2, 2, 0), (0, "leeds"): (0, 0, 0), (0, "york"): (0, 0, 0),
+                     (1, "derby"): (1, 0, 1), (1, "leeds"): (1, 1, 0), (1, "york"): (0, 0, 0)}
