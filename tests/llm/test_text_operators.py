@@ -318,22 +318,28 @@ def test_mixing_reaches_targets_of_domains_that_are_nearly_absent(spark, few):
 
 
 def test_rates_minimise_what_they_should(spark):
-    """Soft memberships and a lower bound, against plain projected gradient on all rates at once."""
+    """Soft memberships, against plain projected gradient on all rates at once."""
     draw = np.random.default_rng(6)
     p = draw.dirichlet([0.4, 0.3, 0.2], 300)
     n = draw.integers(1, 500, 300).astype(float)
     members = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(n, p))], "doc_id long, n_tokens long, posterior array<double>")
     shares = np.array([0.2, 0.3, 0.5])
-    for least, budget in ((0.0, None), (1.0, None), (0.5, 2 * n.sum())):
-        pulls, step = mixing.fit_rates(members, shares, budget, least)
-        found = mixing._rates(p, pulls, step, least)
-        plain = (p * n[:, None]).sum(0)
-        goal = shares * (budget or max(least * (plain / shares).max(), (least == 0) * plain.sum()))
-        scale = ((p * n[:, None]).T @ p).diagonal()
-        rate = np.ones(300)
-        for _ in range(20_000):
-            rate = np.maximum(least, rate - 0.2 * (p @ (((p * (n * rate)[:, None]).sum(0) - goal) / scale) + mixing.PULL * (rate - 1)))
-        assert np.allclose(found, rate, atol=1e-3)
+    pulls, step = mixing.fit_rates(members, shares)
+    found = mixing._rates(p, pulls, step, 0.0)
+    goal, scale = shares * n.sum(), ((p * n[:, None]).T @ p).diagonal()
+
+    def errors(rate):
+        return (p * (n * rate)[:, None]).sum(0) - goal
+
+    def cost(rate):
+        return (np.square(errors(rate)) / scale).sum() + mixing.PULL * (n * np.square(rate - 1)).sum()
+
+    rate = np.ones(300)
+    for _ in range(5_000):
+        rate = np.maximum(0.0, rate - 0.2 * (p @ (errors(rate) / scale) + mixing.PULL * (rate - 1)))
+    assert len(pulls) < 60 and (found >= 0).all()
+    assert cost(found) < cost(np.ones(300)) / 100 and cost(found) == pytest.approx(cost(rate), rel=0.1)
+    assert np.allclose(errors(found) / goal, 0, atol=0.01)
 
 
 def test_mixing_of_odd_rows(odd_docs, no_docs):
