@@ -7,11 +7,13 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from airloom.operators import positions  # noqa: E402
+from airloom.session import written  # noqa: E402
 from driver_queries.spark_side import QUERIES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
-WRITING = {name for name in QUERIES if name.startswith("stream_")} | {"upsert_table"}
+WRITING = {name for name in QUERIES if name.startswith(("stream_", "closed_"))} | {"upsert_table"}
 
 
 def plan_of(spark, name):
@@ -37,5 +39,10 @@ def test_rankings_are_cut_before_the_shuffle(spark):
         assert "WindowGroupLimit" in plan_of(spark, name)
 
 
-def test_comparison_reads_the_readings_once(spark):
-    assert plan_of(spark, "compare").count("events.parquet") == 1
+def test_comparison_reads_the_readings_once(spark, monkeypatch):
+    sorted_once = []
+    monkeypatch.setattr(positions, "written", lambda rows, name: sorted_once.append(rows) or written(rows, name))
+    plan = plan_of(spark, "compare")
+    before = sorted_once[0]._jdf.queryExecution().executedPlan().toString()
+    assert before.count("events.parquet") == 1 and "events.parquet" not in plan
+    assert "rank(" not in before and "rank(" not in plan  # ranks come from places
