@@ -45,6 +45,10 @@ def nearest_stations(cities: DataFrame, stations: DataFrame, *, radius_km: float
     the counts each city learns how far it has to look for ``per_city`` stations, and only cells that
     reach into that distance are joined. Stations at one and the same spot differ in nothing but their id,
     so ``per_city`` of them are all that can be needed.
+
+    A city has hundreds of cells around it, which the planner, who goes by the size of the cities, does not see. They are
+    dealt out by cell before the join, so that their real size is known when it is chosen: they are never broadcast unless
+    they are small.
     """
     step = math.degrees(radius_km / EARTH_RADIUS_KM) / 8
     spot = W.partitionBy("latitude", "longitude").orderBy("station_id")
@@ -69,27 +73,29 @@ def nearest_stations(cities: DataFrame, stations: DataFrame, *, radius_km: float
         F.degrees(F.asin(F.least(ratio, F.lit(1.0)))))
     first = F.floor((lon - spread + 180.0) / 360.0 * around).cast("int")
     last = F.floor((lon + spread + 180.0) / 360.0 * around).cast("int")
-    columns = F.sequence(first, F.least(last, first + around - 1))
-    wanted = (
+    # The cells of a band are numbers in a row: what they are made of is worked out per city and band, then dealt out.
+    rows = (
         cities.select("city_id", F.col("latitude").alias("city_latitude"),
                       F.col("longitude").alias("city_longitude"))
         .withColumn("band", F.explode(bands))
-        .withColumn("column", F.explode(columns))
-        .withColumn("cell", F.pmod(F.col("column"), around))
-        .withColumn("cell_latitude", F.greatest(F.least((F.col("band") + 0.5) * step - 90.0, F.lit(90.0)),
-                                                F.lit(-90.0)))
-        .withColumn("cell_longitude", (F.col("cell") + 0.5) * 360.0 / around - 180.0)
-        .drop("column")
+        .withColumns({"around": around, "first": first, "last": last,
+                      "cell_latitude": F.greatest(F.least((F.col("band") + 0.5) * step - 90.0, F.lit(90.0)),
+                                                  F.lit(-90.0))})
+        .withColumn("last", F.least("last", F.col("first") + F.col("around") - 1))
+        .repartition("city_id", "band")
     )
-    centre = haversine_km(lat, lon, F.col("cell_latitude"), F.col("cell_longitude"))
+    cell = F.pmod(F.col("column"), F.col("around"))
+    centre = haversine_km(lat, lon, F.col("cell_latitude"), (cell + 0.5) * 360.0 / F.col("around") - 180.0)
     # No point of a cell is further from its centre than this: half a height plus half an equator-wide cell.
     half_cell = radius_km / 8 * 1.05
-    known = (
-        wanted.join(counts, ["band", "cell"])
-        .withColumn("at_least", F.greatest(centre - half_cell, F.lit(0.0)))
-        .withColumn("at_most", centre + half_cell)
-        .where(F.col("at_least") <= radius_km)
+    wanted = (
+        rows.withColumn("column", F.explode(F.sequence("first", "last")))
+        .select("city_id", "city_latitude", "city_longitude", "band", cell.alias("cell"), centre.alias("centre"))
+        .where(F.col("centre") - half_cell <= radius_km)
+        .repartition("band", "cell")
     )
+    known = wanted.join(counts, ["band", "cell"]).withColumns({
+        "at_least": F.greatest(F.col("centre") - half_cell, F.lit(0.0)), "at_most": F.col("centre") + half_cell})
     outward = W.partitionBy("city_id").orderBy("at_most").rangeBetween(W.unboundedPreceding, W.currentRow)
     whole_city = W.partitionBy("city_id")
     enough = F.when(F.col("seen") >= per_city, F.col("at_most"))

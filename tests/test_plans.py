@@ -1,5 +1,6 @@
 """What the physical plans must and must not contain."""
 
+import re
 import sys
 from pathlib import Path
 
@@ -39,6 +40,12 @@ def test_rankings_are_cut_before_the_shuffle(spark):
         assert "WindowGroupLimit" in plan_of(spark, name)
 
 
+def test_cells_around_cities_are_dealt_out_before_a_join_is_chosen(spark):
+    plan = plan_of(spark, "nearest")
+    dealt = re.findall(r"hashpartitioning\((\w+)#\d+L?, (\w+)#\d+L?, \d+\), REPARTITION_BY_COL", plan)
+    assert ("band", "cell") in dealt and ("city_id", "band") in dealt
+
+
 def test_comparison_reads_the_readings_once(spark, monkeypatch):
     sorted_once = []
     monkeypatch.setattr(positions, "written", lambda rows, name: sorted_once.append(rows) or written(rows, name))
