@@ -13,6 +13,7 @@ from airloom.functions.times import instant
 from airloom.operators.filters import active, changed_since
 from airloom.operators.upsert import merge_readings
 from airloom.schemas import CITIES, INSIGHT_CACHE, READING_KEY, READING_PARTITIONS, READINGS, VALID
+from airloom.session import written
 from airloom.sources.layers import MOST_LAYERS, REPLACED, Layout, append_layer, commits, compact, read_layers, read_log
 
 # The log tells per city what arrived, so freshness and changed days need no look at the readings.
@@ -125,12 +126,11 @@ def merge_into(spark: SparkSession, batch: DataFrame, path: str, as_of: datetime
     dated = batch.withColumn("reading_date", F.to_date("timestamp"))
     stored = read_layers(spark, path, READINGS_LAYOUT, touched=dated)
     merged = merge_readings(stored, dated.drop("reading_date"), as_of, kept=False)
-    rows = merged.where(F.col("action").isin("inserted", "updated")).withColumn(REPLACED, F.col("action") == "updated").persist()
-    try:
-        counts = rows.agg(F.count_if(~F.col(REPLACED)).alias("inserted"), F.count_if(REPLACED).alias("updated")).first().asDict()
-        return counts, append_layer(spark, path, READINGS_LAYOUT, rows) if any(counts.values()) else None
-    finally:
-        rows.unpersist()
+    rows = merged.where(F.col("action").isin("inserted", "updated")).withColumn(REPLACED, F.col("action") == "updated")
+    # A cached frame that reads the table would be computed again once the table is written to.
+    rows = written(rows, "merged")
+    counts = rows.agg(F.count_if(~F.col(REPLACED)).alias("inserted"), F.count_if(REPLACED).alias("updated")).first().asDict()
+    return counts, append_layer(spark, path, READINGS_LAYOUT, rows) if any(counts.values()) else None
 
 
 def upsert_readings(spark: SparkSession, batch: DataFrame, path: str, as_of: datetime) -> dict[str, int]:

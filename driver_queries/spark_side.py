@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from airloom.functions.labels import correlation_direction, correlation_strength, pm25_category, severity
 from airloom.functions.quality import canonical_unit, normalise_weather, quality_flag
@@ -664,21 +665,22 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/event[s].parquet")
 
 
-def _landed_events(spark: SparkSession, d: str, base: str) -> DataFrame:
-    """All events as a stream of four files, read one by one.
+def _deliver_events(spark: SparkSession, d: str, base: str, store: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """All events as four deliveries that one stream takes in, one micro-batch each; ``store`` makes its writer.
 
-    Three hold the thirds of the month. A tenth of the readings comes late, in the fourth file, and so do corrections of
-    others, which first arrive with another value.
+    Three hold the thirds of the month. A tenth of the readings comes late, in the fourth one, and so do corrections of
+    others, which first arrive with another value. A delivery is written and read by as many tasks as there are.
     """
-    staged = given.as_staged(given.table(spark, d, "events"))
+    staged = given.as_staged(given.spread(given.table(spark, d, "events"), "event_id"))
     late, corrected = F.col("ingest_seq") % 10 == 3, F.col("ingest_seq") % 20 == 7
     wrong = F.when(corrected, F.col("value") + 1000).otherwise(F.col("value"))
     third = F.least(F.floor((F.dayofmonth("timestamp") - 1) / 10), F.lit(2))
-    for part in range(3):
-        rows = staged.where(~late & (third == part)).withColumn("value", wrong)
-        rows.coalesce(1).write.mode("append").parquet(f"{base}/landing")
-    staged.where(late | corrected).coalesce(1).write.mode("append").parquet(f"{base}/landing")
-    return spark.readStream.schema(staged.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing")
+    for part in (*range(3), None):
+        rows = staged.where(late | corrected) if part is None else staged.where(~late & (third == part)).withColumn("value", wrong)
+        rows.write.mode("append").parquet(f"{base}/landing")
+        arriving = spark.readStream.schema(staged.schema).parquet(f"{base}/landing")
+        # The checkpoint tells the stream which files it has had: only the new delivery is left.
+        store(arriving).trigger(availableNow=True).start().awaitTermination()
 
 
 @registered
@@ -732,12 +734,12 @@ def stream_cycles(spark, d):
 
 
 def _stream_trend(interval: str) -> Query:
-    """Buckets kept equal to the batch trend over four files, with late readings and corrections."""
+    """Buckets kept equal to the batch trend over four deliveries, with late readings and corrections."""
     def run(spark: SparkSession, d: str) -> DataFrame:
         base = work_folder(spark, "stream-trend")
-        upsert_stream(_landed_events(spark, d, base), f"{base}/readings", f"{base}/checkpoint", as_of=to_utc(AS_OF),
-                      after=trend_writer(f"{base}/readings", f"{base}/trend", interval)).trigger(
-            availableNow=True).start().awaitTermination()
+        _deliver_events(spark, d, base, lambda arriving: upsert_stream(
+            arriving, f"{base}/readings", f"{base}/checkpoint", as_of=to_utc(AS_OF),
+            after=trend_writer(f"{base}/readings", f"{base}/trend", interval)))
         return read_trend(spark, f"{base}/trend")
 
     run.__name__ = f"stream_trend_{interval}"
@@ -769,8 +771,8 @@ for _interval in ("hour", "day", "week"):
 def stream_baseline(spark, d):
     """Rolling scores kept next to the table by the ingest stream, over four files with late readings and corrections."""
     base = work_folder(spark, "stream-baseline")
-    upsert_stream(_landed_events(spark, d, base), f"{base}/readings", f"{base}/checkpoint", as_of=to_utc(AS_OF),
-                  after=score_writer(f"{base}/readings", f"{base}/scores", f"{base}/tails")).trigger(
-        availableNow=True).start().awaitTermination()
+    _deliver_events(spark, d, base, lambda arriving: upsert_stream(
+        arriving, f"{base}/readings", f"{base}/checkpoint", as_of=to_utc(AS_OF),
+        after=score_writer(f"{base}/readings", f"{base}/scores", f"{base}/tails")))
     current = current_scores(tables.read_readings(spark, f"{base}/readings"), read_scores(spark, f"{base}/scores"))
     return current.select(*READING_KEY, "value", "rolling_avg", "rolling_stddev", "z_score", "window_size")

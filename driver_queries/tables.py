@@ -31,6 +31,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by their key: a table file may hold fewer row groups than there are cores."""
+    return rows.repartition(key)
+
+
 def parameter_of(event_type: Column) -> Column:
     chosen = event_type
     for kind, parameter in PARAMETERS.items():

@@ -15,6 +15,7 @@ from airloom.streaming import baseline
 from airloom.streaming.baseline import current_scores, read_scores, score_writer
 from airloom.streaming.ingest import cycle_stream, document_stream, read_cycles, upsert_stream
 from airloom.streaming.trend import read_trend, stream_trend, trend_writer
+from driver_queries.spark_side import _deliver_events
 from helpers import NOON, at, city_frame, staged_frame
 
 FIRST = at("2026-03-01")
@@ -202,3 +203,13 @@ def test_cycles_of_two_sources_isolate_failures(spark, tmp_path):
              for r in read_cycles(spark, base, "stats").collect()}
     assert stats == {(0, "derby"): (2, 2, 0), (0, "leeds"): (0, 0, 0), (0, "york"): (0, 0, 0),
                      (1, "derby"): (1, 0, 1), (1, "leeds"): (1, 1, 0), (1, "york"): (0, 0, 0)}
+
+
+def test_events_are_delivered_in_four_batches_of_several_files(spark, tmp_path):
+    batches = []
+    _deliver_events(spark, "/root/testdata/sf0.1", str(tmp_path), lambda arriving: arriving.writeStream.foreachBatch(
+        lambda batch, number: batches.append((number, batch.count()))).option("checkpointLocation", f"{tmp_path}/checkpoint"))
+    assert [number for number, _ in batches] == [0, 1, 2, 3]
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
+    assert sum(rows for _, rows in batches) == events.count() + events.where("event_id % 20 = 7").count()
+    assert len(list((tmp_path / "landing").glob("*.parquet"))) > 4  # one file each is one task each
