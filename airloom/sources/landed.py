@@ -105,8 +105,10 @@ def parse_weather(documents: DataFrame, as_of: datetime | None = None, *, keep_h
     A value array shorter than the time array ends early: the hours beyond it do not become missing
     readings. A NULL inside the array does. With ``as_of``, hours older than ``keep_hours`` are left out.
     """
-    hours = documents.select(
-        "city_id", "fetched_at", "hourly", "hourly_units", F.posexplode("hourly.time").alias("pos", "hour"))
+    # Once per document, not once per reading.
+    numbered = documents.withColumn("ingest_seq", arrival_number(F.col("fetched_at")))
+    hours = numbered.select(
+        "city_id", "ingest_seq", "hourly", "hourly_units", F.posexplode("hourly.time").alias("pos", "hour"))
     moment = parse_hourly(F.col("hour"))
     hours = hours.withColumn("timestamp", moment).where(F.col("timestamp").isNotNull())
     if as_of is not None:
@@ -120,7 +122,7 @@ def parse_weather(documents: DataFrame, as_of: datetime | None = None, *, keep_h
         )
         for field, parameter in WEATHER_FIELDS.items()
     ])
-    rows = hours.select("city_id", "fetched_at", "pos", "timestamp", F.explode(entries).alias("entry")).where("entry.present")
+    rows = hours.select("city_id", "ingest_seq", "pos", "timestamp", F.explode(entries).alias("entry")).where("entry.present")
     parameter, raw_value, raw_unit = (F.col(f"entry.{name}") for name in ("parameter", "raw_value", "raw_unit"))
     return rows.select(
         "city_id", parameter.alias("parameter"),
@@ -128,7 +130,7 @@ def parse_weather(documents: DataFrame, as_of: datetime | None = None, *, keep_h
         canonical_unit(parameter, raw_unit).alias("unit"),
         raw_value.alias("raw_value"), raw_unit.alias("raw_unit"), "timestamp",
         F.lit(WEATHER_SOURCE).alias("source"), F.lit(None).cast("string").alias("quality_flag"),
-        arrival_number(F.col("fetched_at")).alias("ingest_seq"), F.col("pos").cast("long").alias("ingest_pos"),
+        "ingest_seq", F.col("pos").cast("long").alias("ingest_pos"),
     )
 
 

@@ -249,7 +249,7 @@ def weather_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("°C").alias("temperature_2m"), F.lit("%").alias("relative_humidity_2m"),
         F.when(F.col("event_type") != "error", "km/h").otherwise("m/s").alias("wind_speed_10m"),
         F.lit("mm").alias("precipitation"))
-    return table(spark, folder, "events").select(
+    return spread(table(spark, folder, "events"), "event_id").select(
         (F.col("user_id") % 25).cast("string").alias("city_id"),
         F.concat(_iso(F.col("ts")), F.lit("Z")).alias("fetched_at"), F.lit(None).cast("string").alias("error"),
         hourly.alias("hourly"), units.alias("hourly_units"))

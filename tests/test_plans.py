@@ -46,6 +46,10 @@ def test_cells_around_cities_are_dealt_out_before_a_join_is_chosen(spark):
     assert ("band", "cell") in dealt and ("city_id", "band") in dealt
 
 
+def test_documents_are_dealt_out_before_they_are_parsed(spark):
+    assert re.search(r"hashpartitioning\(event_id#\d+L, \d+\), REPARTITION_BY_COL", plan_of(spark, "weather_readings"))
+
+
 def test_comparison_reads_the_readings_once(spark, monkeypatch):
     sorted_once = []
     monkeypatch.setattr(positions, "written", lambda rows, name: sorted_once.append(rows) or written(rows, name))
