@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from airloom.functions.quality import normalise_weather, quality_flag, canonical_unit
 from airloom.functions.times import instant
 from airloom.operators.filters import changed
-from airloom.schemas import ARRIVAL_PLACE, MISSING, READING_KEY, VALID
+from airloom.schemas import ARRIVAL_PLACE, MISSING, QUALITY_FLAGS, READING_KEY, VALID
 
 _CARRIED = ["value", "unit", "raw_value", "raw_unit", "quality_flag", "source"]
 
@@ -27,21 +27,40 @@ def latest_per_key(batch: DataFrame, keys: list[str] = READING_KEY, order: str =
     Arrivals are ordered by fetch time, source and place inside the document, then by what they say, so that
     the result does not depend on how rows lie in partitions.
     """
-    told = [c for c in ("source", ARRIVAL_PLACE, "value", "raw_value", "unit", "raw_unit", "quality_flag")
-            if c in batch.columns and c not in keys]
-    newest_first = W.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in dict.fromkeys([order, *told])])
+    # The last column of the key leads: timestamps are told apart as numbers, cities only letter by letter.
+    newest_first = W.partitionBy(*reversed(keys)).orderBy(*[F.col(c).desc() for c in [order, *_told(batch, keys, order)]])
     return batch.withColumn("_arrival", F.row_number().over(newest_first)).where("_arrival = 1").drop("_arrival")
 
 
-def merge_readings(target: DataFrame, batch: DataFrame, as_of: datetime, *, kept: bool = True) -> DataFrame:
+def _told(batch: DataFrame, keys: list[str], order: str) -> list[str]:
+    """What orders arrivals of one key that came at the same time."""
+    return [c for c in ("source", ARRIVAL_PLACE, "value", "raw_value", "unit", "raw_unit", "quality_flag")
+            if c in batch.columns and c not in keys and c != order]
+
+
+def counted_latest(flagged: DataFrame) -> DataFrame:
+    """Keys, measured columns and order of the rows that :func:`latest_per_key` keeps, with counts of all arrivals per flag.
+
+    ``arrived_valid``, ``arrived_suspect`` and ``arrived_missing`` add up to the rows of ``flagged``, which is passed over once.
+    """
+    order = ["ingest_seq", *_told(flagged, READING_KEY, "ingest_seq")]
+    return flagged.groupBy(*reversed(READING_KEY)).agg(
+        F.max(F.struct(*order)).alias("_last"),
+        *[F.count_if(F.col("quality_flag") == flag).alias(f"arrived_{flag}") for flag in QUALITY_FLAGS],
+    ).select(*READING_KEY, "_last.*", *[f"arrived_{flag}" for flag in QUALITY_FLAGS])
+
+
+def merge_readings(target: DataFrame, batch: DataFrame, as_of: datetime, *, kept: bool = True,
+                   latest: bool = False) -> DataFrame:
     """Target rows and batch rows merged on the key, with an ``action`` per row.
 
     inserted: new key. updated: value or flag differs, NULL included, and everything measured is replaced.
     unchanged: same value and flag, so the stored row stays as it is even if unit or source differ.
     kept: not in the batch; without ``kept`` these are left out. ``created_at`` survives; ``updated_at`` moves only
-    with a change. ``valid_change`` tells by how much the number of valid readings moves.
+    with a change. ``valid_change`` tells by how much the number of valid readings moves. ``latest`` says that the batch
+    has one row per key already.
     """
-    incoming = latest_per_key(batch).select(
+    incoming = (batch if latest else latest_per_key(batch)).select(
         *READING_KEY, *[F.col(name).alias(f"new_{name}") for name in _CARRIED], F.lit(True).alias("arrived"))
     stored = target.withColumn("stored", F.lit(True))
     joined = stored.join(incoming, READING_KEY, "full_outer" if kept else "right")

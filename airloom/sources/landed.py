@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,23 +113,27 @@ def parse_weather(documents: DataFrame, as_of: datetime | None = None, *, keep_h
     hours = hours.withColumn("timestamp", moment).where(F.col("timestamp").isNotNull())
     if as_of is not None:
         hours = hours.where(F.col("timestamp") >= instant(as_of - timedelta(hours=keep_hours)))
-    entries = F.array(*[
-        F.struct(
+    held = hours.select("city_id", "ingest_seq", "pos", "timestamp", "hourly", *[
+        column for field in WEATHER_FIELDS for column in (
+            F.get(F.col(f"hourly.{field}"), F.col("pos")).alias(f"value_{field}"),
+            F.coalesce(F.col(f"hourly_units.{field}"), F.lit("unknown")).alias(f"unit_{field}"))])
+
+    def entry(field: str, parameter: str) -> Column:
+        raw_value, raw_unit = F.col(f"value_{field}"), F.col(f"unit_{field}")
+        return F.struct(
             F.lit(parameter).alias("parameter"),
             (F.col("pos") < F.coalesce(F.size(F.col(f"hourly.{field}")), F.lit(0))).alias("present"),
-            F.get(F.col(f"hourly.{field}"), F.col("pos")).alias("raw_value"),
-            F.coalesce(F.col(f"hourly_units.{field}"), F.lit("unknown")).alias("raw_unit"),
-        )
-        for field, parameter in WEATHER_FIELDS.items()
-    ])
-    rows = hours.select("city_id", "ingest_seq", "pos", "timestamp", F.explode(entries).alias("entry")).where("entry.present")
-    parameter, raw_value, raw_unit = (F.col(f"entry.{name}") for name in ("parameter", "raw_value", "raw_unit"))
+            normalise_weather(F.lit(parameter), raw_value, raw_unit).alias("value"),
+            canonical_unit(F.lit(parameter), raw_unit).alias("unit"),
+            raw_value.alias("raw_value"), raw_unit.alias("raw_unit"))
+
+    # Values and units are worked out inside the entries, from plain columns and where the parameter is a constant. After the
+    # explosion the rounding of wind speeds would be copied into every use of the value, into code too long to be compiled.
+    entries = F.array(*[entry(field, parameter) for field, parameter in WEATHER_FIELDS.items()])
+    rows = held.select("city_id", "ingest_seq", "pos", "timestamp", F.explode(entries).alias("entry")).where("entry.present")
     return rows.select(
-        "city_id", parameter.alias("parameter"),
-        normalise_weather(parameter, raw_value, raw_unit).alias("value"),
-        canonical_unit(parameter, raw_unit).alias("unit"),
-        raw_value.alias("raw_value"), raw_unit.alias("raw_unit"), "timestamp",
-        F.lit(WEATHER_SOURCE).alias("source"), F.lit(None).cast("string").alias("quality_flag"),
+        "city_id", *[F.col(f"entry.{name}").alias(name) for name in ("parameter", "value", "unit", "raw_value", "raw_unit")],
+        "timestamp", F.lit(WEATHER_SOURCE).alias("source"), F.lit(None).cast("string").alias("quality_flag"),
         "ingest_seq", F.col("pos").cast("long").alias("ingest_pos"),
     )
 

@@ -111,13 +111,15 @@ def touched_partitions(table: DataFrame, batch: DataFrame, partitions: list[str]
     return table.join(batch.select(*partitions).distinct(), partitions, "left_semi")
 
 
-def merge_into(spark: SparkSession, batch: DataFrame, path: str, as_of: datetime) -> tuple[dict[str, int], str | None]:
+def merge_into(spark: SparkSession, batch: DataFrame, path: str, as_of: datetime, *,
+               latest: bool = False) -> tuple[dict[str, int], str | None]:
     """Merge a flagged batch into the readings table: inserted and changed rows become one more layer of their days.
 
     The batch is compared with the partitions it falls into and with nothing else; rows already stored are never
     written again. All of it counts at once, when the log entry is written; a writer that dies before leaves the table
-    as it was. Replaying a batch changes nothing and commits nothing. One writer at a time. Returns the number
-    of inserted and updated readings, and the version under which the log tells more of them.
+    as it was. Replaying a batch changes nothing and commits nothing. One writer at a time. ``latest`` says that the batch
+    has one row per key already. Returns the number of inserted and updated readings, and the version under which the log
+    tells more of them.
     """
     if not commits(spark, path):
         flat = _flat_readings(spark, path)
@@ -125,7 +127,7 @@ def merge_into(spark: SparkSession, batch: DataFrame, path: str, as_of: datetime
             store_readings(spark, flat, path)
     dated = batch.withColumn("reading_date", F.to_date("timestamp"))
     stored = read_layers(spark, path, READINGS_LAYOUT, touched=dated)
-    merged = merge_readings(stored, dated.drop("reading_date"), as_of, kept=False)
+    merged = merge_readings(stored, dated.drop("reading_date"), as_of, kept=False, latest=latest)
     rows = merged.where(F.col("action").isin("inserted", "updated")).withColumn(REPLACED, F.col("action") == "updated")
     # A cached frame that reads the table would be computed again once the table is written to.
     rows = written(rows, "merged")
@@ -133,9 +135,9 @@ def merge_into(spark: SparkSession, batch: DataFrame, path: str, as_of: datetime
     return counts, append_layer(spark, path, READINGS_LAYOUT, rows) if any(counts.values()) else None
 
 
-def upsert_readings(spark: SparkSession, batch: DataFrame, path: str, as_of: datetime) -> dict[str, int]:
+def upsert_readings(spark: SparkSession, batch: DataFrame, path: str, as_of: datetime, *, latest: bool = False) -> dict[str, int]:
     """:func:`merge_into`, returning the number of inserted and updated readings."""
-    return merge_into(spark, batch, path, as_of)[0]
+    return merge_into(spark, batch, path, as_of, latest=latest)[0]
 
 
 def merged_by_city(spark: SparkSession, path: str, version: str | None) -> DataFrame:

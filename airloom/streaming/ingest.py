@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from airloom.operators.upsert import flag_readings, insertable
+from airloom.operators.upsert import counted_latest, flag_readings, insertable
 from airloom.plans.ingest import cycle_report, ingest_stats, stage_readings
-from airloom.schemas import CORRUPT_COLUMN, MISSING, SUSPECT, VALID
+from airloom.schemas import CORRUPT_COLUMN, MISSING, QUALITY_FLAGS, SUSPECT, VALID
+from airloom.session import written
 from airloom.sources.landed import fetch_errors
 from airloom.sources.tables import merge_into, merged_by_city, upsert_readings
 
@@ -26,6 +27,12 @@ def quality_counts(staged: DataFrame) -> dict:
     return row.asDict()
 
 
+def arrival_counts(newest: DataFrame) -> dict:
+    """:func:`quality_counts` of the readings that :func:`counted_latest` was given."""
+    row = newest.agg(*[F.coalesce(F.sum(f"arrived_{flag}"), F.lit(0)).alias(f"quality_{flag}") for flag in QUALITY_FLAGS]).first()
+    return {"readings_fetched": sum(row), **row.asDict()}
+
+
 def upsert_stream(staged: DataFrame, table: str, checkpoint: str, *, as_of: datetime | None = None,
                   report: Callable[[int, dict], None] | None = None,
                   after: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
@@ -67,16 +74,14 @@ def document_stream(documents: DataFrame, parse: Callable[[DataFrame], DataFrame
             broken = held.where(F.col(CORRUPT_COLUMN).isNotNull()).select(F.col(CORRUPT_COLUMN).alias("value"))
             broken.write.mode("overwrite").text(f"{quarantine.rstrip('/')}/batch={batch_id}")
             readable = held.where(F.col(CORRUPT_COLUMN).isNull()).drop(CORRUPT_COLUMN)
-            flagged = insertable(flag_readings(parse(readable))).persist()
-            try:
-                counts = quality_counts(flagged)
-                counts["documents_quarantined"] = broken.count()
-                if counts["readings_fetched"]:
-                    counts.update(upsert_readings(batch.sparkSession, flagged, table, now))
-                if report is not None:
-                    report(batch_id, counts)
-            finally:
-                flagged.unpersist()
+            # One pass over all readings. What remains, a row per key with its counts, is what the later steps read.
+            newest = written(counted_latest(insertable(flag_readings(parse(readable)))), "arrived")
+            counts = arrival_counts(newest)
+            counts["documents_quarantined"] = broken.count()
+            if counts["readings_fetched"]:
+                counts.update(upsert_readings(batch.sparkSession, newest, table, now, latest=True))
+            if report is not None:
+                report(batch_id, counts)
         finally:
             held.unpersist()
 
